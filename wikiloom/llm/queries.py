@@ -4,8 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wikiloom.llm import canonical, leakage
-from wikiloom.sources.tables import read_table
+from wikiloom.functions.text import to_id
+from wikiloom.llm import canonical, chunking, leakage, markup, packing
+from wikiloom.sources.tables import last_value, read_table
+
+
+def last_texts(spark: SparkSession, folder: str, longer_than: int = 0) -> DataFrame:
+    """(page_id, host, text): the sample of each page's latest row in the last snapshot, if it is longer than that.
+
+    Texts that are not are dropped before they are shuffled; the latest row is chosen among all rows.
+    """
+    records = read_table(spark, folder, "page_records")
+    body = F.col("storage_format_sample")
+    host = F.concat_ws("/", F.regexp_extract("source_url", "^[a-z]+://([^/?#]+)", 1), "space_key")
+    rows = records.where(F.col("run_id") == last_value(records, "run_id")).select(
+        to_id("id").alias("page_id"),
+        F.struct(F.col("crawled_at"), F.when(F.length(body) > longer_than, body).alias("text"), host.alias("host")).alias("row"),
+    )
+    latest = rows.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("row").alias("row"))
+    return latest.select("page_id", F.col("row.host").alias("host"), F.col("row.text").alias("text")).where("text IS NOT NULL")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    cut = chunking.pieces(last_texts(spark, folder, chunking.LIMIT), "page_id", "text").drop("text")
+    kinds = cut.groupBy("page_id").agg(F.bool_or("forced").alias("forced"))
+    return kinds.select("page_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut_type"))
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces themselves, of all texts of the last snapshot."""
+    return chunking.pieces(last_texts(spark, folder), "page_id", "text")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.structures(last_texts(spark, folder), "page_id", "host", "text").distinct()
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Which container each text (or piece of an oversized one) goes to."""
+    sizes = packing.token_counts(read_table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +64,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(read_table(spark, folder, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found}
+
+_LAST = """SELECT TRY_CAST(trim(id) AS BIGINT) AS page_id, storage_format_sample AS t FROM page_records
+  WHERE run_id = (SELECT max(run_id) FROM page_records)
+  QUALIFY row_number() OVER (PARTITION BY TRY_CAST(trim(id) AS BIGINT) ORDER BY crawled_at DESC NULLS LAST) = 1"""
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p2_found": f"""
+SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'natural' END AS cut_type
+FROM ({_LAST}) WHERE length(t) > 3000""",
+}
