@@ -167,7 +167,7 @@ def rewrite(pages: DataFrame, key: str, markdown: str, paths: DataFrame) -> Data
 def rewrite_stats(rewritten: DataFrame) -> DataFrame:
     """One row: pages processed and updated, links seen and rewritten."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return rewritten.agg(F.count("*").alias("pages_processed"), F.count_if("links_rewritten > 0").alias("pages_updated"), total("links_seen"), total("links_rewritten"))
+    return rewritten.agg(F.count("*").alias("pages_processed"), F.count_if(F.col("links_rewritten") > 0).alias("pages_updated"), total("links_seen"), total("links_rewritten"))
 
 
 def enrich_labels(lines: DataFrame, key: str, markdown: str, titles: DataFrame) -> DataFrame:
@@ -179,8 +179,8 @@ def enrich_labels(lines: DataFrame, key: str, markdown: str, titles: DataFrame)
     m = F.col(markdown)
     found = F.arrays_zip(F.regexp_extract_all(m, F.lit(pattern), F.lit(1)).alias("label"), F.regexp_extract_all(m, F.lit(pattern), F.lit(2)).alias("target"))
     pairs = lines.select(key, F.explode(F.array_distinct(found)).alias("x")).select(key, "x.label", "x.target").where("label = target")
-    pairs = pairs.withColumn("page_id", urls.whole_number(F.nullif(F.regexp_extract("target", "/pages/([0-9]+)", 1), F.lit(""))))
-    named = pairs.join(titles.select("page_id", strip_white("title").alias("title")).where("title <> ''"), "page_id")
+    pairs = pairs.withColumn("_dst", urls.whole_number(F.nullif(F.regexp_extract("target", "/pages/([0-9]+)", 1), F.lit(""))))
+    named = pairs.join(titles.select(F.col("page_id").alias("_dst"), strip_white("title").alias("title")).where("title <> ''"), "_dst")
     lists = named.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("target", "title"))).alias("swaps"))
     old = lambda s: F.concat(F.lit("["), s["target"], F.lit("]("), s["target"], F.lit(")"))
     new = lambda s: F.concat(F.lit("["), s["title"], F.lit("]("), s["target"], F.lit(")"))
