@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.functions.text import blank_to_null, strip_white
 from wikiloom.operators.hierarchy import resolve_hierarchy
+from wikiloom.operators.ranking import rank_within
 from wikiloom.operators.render import try_render
 from wikiloom.operators.snapshots import latest_rows
 
@@ -34,8 +35,8 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
     """Comments with their position on the page: threads in pre-order, siblings by creation (NULL last), then id.
 
     A comment whose parent is not on the page starts a thread; comments on or below a cycle come last. Paths come from
-    the distributed hierarchy; the sort key of a comment is the list of its ancestors' own keys, so that one window per
-    page gives the order and no thread is walked in one task.
+    the distributed hierarchy; the sort key of a comment is the list of its ancestors' own keys, so that a sort by range
+    gives the order, and neither a thread nor a page has to fit into one task.
     """
     nodes = comments.select(F.col("page_id").cast("string").alias("scope"), F.col("comment_id").alias("id"), F.col("parent_id").alias("parent"))
     trees = resolve_hierarchy(nodes)
@@ -43,8 +44,8 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
     own = comments.select(F.col("comment_id").alias("ancestor"), step.alias("step"))
     ways = trees.where("state = 'tree'").select(F.col("id").alias("comment_id"), F.posexplode("path").alias("pos", "ancestor")).join(own, "ancestor")
     keys = ways.groupBy("comment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"]).alias("key"))
-    by_page = Window.partitionBy("page_id").orderBy(F.col("key").isNull(), "key", "created_at", "comment_id")
-    return comments.join(keys, "comment_id", "left").withColumn("position", F.row_number().over(by_page)).withColumn("depth", F.size("key") - 1).drop("key")
+    keyed = comments.join(keys, "comment_id", "left").withColumns({"depth": F.size("key") - 1, "stray": F.col("key").isNull()})
+    return rank_within(keyed, "page_id", ["stray", "key", "created_at", "comment_id"], "position").drop("key", "stray")
 
 
 def comment_blocks(ordered: DataFrame) -> DataFrame:
