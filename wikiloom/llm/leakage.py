@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wikiloom.llm.canonical import canonical_text
 
@@ -178,12 +179,12 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = SEED, window: int
         if blocks > 1:
             part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], seed))
-        found = docs.mapInArrow(_search(shared, window), schema)
+        found = docs.mapInArrow(_search(shared, window, to_arrow_type(items.schema["item_id"].dataType)), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(shared, window: int):
+def _search(shared, window: int, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -199,7 +200,7 @@ def _search(shared, window: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], batch.schema.field(0).type),
-                        pa.array([r[1] for r in rows]),
+                        pa.array([r[1] for r in rows], item_type),
                         pa.array([r[2] for r in rows], pa.bool_()),
                         pa.array([r[3] for r in rows], pa.int32()),
                         pa.array([r[4] for r in rows], pa.int32()),
