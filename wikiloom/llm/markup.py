@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 HEADING, ITEM, CODE, FORMULA = "heading", "list_item", "code", "formula"
 #: Line forms that one of the two line-based dialects alone has (Java and Python regular expressions).
 WIKI_ONLY = r"(?m)^h[1-6]\. |\{(?:code|noformat|color|quote|panel)[:}]|^\|\||\{\{[^{}\n]+\}\}|\[[^\]\[|\n]+\|[^\]\s]+\]|^\*\*+ |^bq\. "
-MARKDOWN_ONLY = r"(?m)^ {0,3}(?:```|~~~)|\]\([^)\s]+\)|^(?:=====+|-----+) *$|^#{1,6} .* #+ *$|\*\*[^*\n]+\*\*|^ *[-*+] \[[ xX]\] |^ *\+ |^ *\d+[.)] |^\| *--|~~[^~\n]+~~|^#{3,6} "
+MARKDOWN_ONLY = r"(?m)^ {0,3}(?:```|~~~)|\]\([^)\s]+\)|^(?:=====+|-----+) *$|^#{1,6} .* #+ *$|\*\*[^*\n]+\*\*|^ *[-*+] \[[ xX]\] |^ *\+ |^ *\d+[.)] |^\| *--|~~[^~\n]+~~|^#{3,6} |(?:\A|\n[ \t]*\n)#{2,6} |`[^`\n]+`|(?<![\w_])__[^_\n]+__(?![\w_])"
 
 _SPACE = re.compile(r"\s+")
 _BLOCK_TAGS = "h[1-6]|p|ul|ol|li|dl|dt|dd|pre|table|thead|tbody|tfoot|tr|td|th|div|section|article|header|footer|nav|aside|main|blockquote|figure|hr|ac:[\\w-]+|ri:[\\w-]+|html|body|details|summary"
