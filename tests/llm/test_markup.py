@@ -39,10 +39,10 @@ def test_plain():
 
 def test_host_decides_where_a_page_does_not(spark):
     wiki = "h1. Title\n\n# item"
-    rows = [(1, "a", wiki), (2, "a", wiki), (3, "a", "# only"), (4, "b", "# only"), (5, None, "# only"), (6, "a", "```\nx\n```\n# only"), (7, "a", None), (8, "a", "")]
+    rows = [(1, "a", wiki), (2, "a", wiki), (3, "a", "# only"), (4, "b", "# only"), (5, None, "# only"), (6, "a", "```\nx\n```\n# only"), (7, "a", None), (8, "a", ""), (9, "b", "# one\n# two")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id int, host string, text string, kind string")
     got = {(r.page_id, r.kind, r.content) for r in structures(df, "page_id", "host", "text").collect()}
-    assert {(3, L, "only"), (4, H, "only"), (5, H, "only"), (6, H, "only")} <= got and not {r[0] for r in got} & {7, 8}
+    assert {(3, L, "only"), (4, H, "only"), (5, H, "only"), (6, H, "only"), (9, L, "one"), (9, L, "two")} <= got and not {r[0] for r in got} & {7, 8}
     assert structures(df.limit(0), "page_id", "host", "text").count() == 0
 
 

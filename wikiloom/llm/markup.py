@@ -3,8 +3,8 @@
 Documents mix HTML, Markdown, wiki mark-up and LaTeX, and some line forms mean different things by dialect (``# x`` is a
 heading in Markdown and a numbered item in wiki mark-up). Each page's containers are scored: every line form that one
 dialect alone has counts for it. Where a page has evidence of its own, that decides; where it has none, its host does:
-pages vote on generalised container paths (host, space, line form) in Spark, and pages without evidence are extracted by
-the winning path. Votes are combined map-side to one row per host and space.
+pages vote on generalised container paths (a run of ``# x`` lines, or one on its own) in Spark, and pages without
+evidence are extracted by what wins for their path. Votes are combined map-side to two rows per host and space.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ HEADING, ITEM, CODE, FORMULA = "heading", "list_item", "code", "formula"
 WIKI_ONLY = r"(?m)^h[1-6]\. |\{(?:code|noformat|color|quote|panel)[:}]|^\|\||\{\{[^{}\n]+\}\}|\[[^\]\[|\n]+\|[^\]\s]+\]|^\*\*+ |^bq\. "
 MARKDOWN_ONLY = r"(?m)^ {0,3}(?:```|~~~)|\]\([^)\s]+\)|^(?:=====+|-----+) *$|^#{1,6} .* #+ *$|\*\*[^*\n]+\*\*|^ *[-*+] \[[ xX]\] |^ *\+ |^ *\d+[.)] |^\| *--|~~[^~\n]+~~|^#{3,6} |(?:\A|\n[ \t]*\n)#{2,6} |`[^`\n]+`|(?<![\w_])__[^_\n]+__(?![\w_])"
 
+#: Generalised container paths of the line form that the dialects share: a run of ``# x`` lines, and one on its own.
+RUN_PATH, LONE_PATH = r"(?m)^# .*\n# ", r"(?:\A|\n[ \t]*\n)# [^\n]*(?:\n[ \t]*(?:\n|\z)|\z)"
+
 _SPACE = re.compile(r"\s+")
 _BLOCK_TAGS = "h[1-6]|p|ul|ol|li|dl|dt|dd|pre|table|thead|tbody|tfoot|tr|td|th|div|section|article|header|footer|nav|aside|main|blockquote|figure|hr|ac:[\\w-]+|ri:[\\w-]+|html|body|details|summary"
 _HTML_START = re.compile(rf"<(?:{_BLOCK_TAGS})(?=[\s>/])", re.IGNORECASE)
@@ -420,30 +423,34 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
 
 
 def score(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with wiki_score and markdown_score: line forms that only the one or the other dialect has."""
-    return df.withColumns({"wiki_score": F.regexp_count(text, F.lit(WIKI_ONLY)), "markdown_score": F.regexp_count(text, F.lit(MARKDOWN_ONLY))})
+    """``df`` with wiki_score and markdown_score, the line forms that only the one or the other dialect has, and path,
+    the container path of the line form that both have."""
+    path = F.when(text.rlike(RUN_PATH), "#+").when(text.rlike(LONE_PATH), "#").otherwise("")
+    return df.withColumns({"wiki_score": F.regexp_count(text, F.lit(WIKI_ONLY)), "markdown_score": F.regexp_count(text, F.lit(MARKDOWN_ONLY)), "path": path})
 
 
 def vote(scored: DataFrame, host: str) -> DataFrame:
-    """(host, wiki_wins): the dialect that most pages of the host with evidence of their own are in."""
-    ballots = scored.where("wiki_score <> markdown_score").select(F.col(host), F.when(F.col("wiki_score") > F.col("markdown_score"), 1).otherwise(-1).alias("ballot"))
-    return ballots.groupBy(host).agg((F.sum("ballot") > 0).alias("wiki_wins"))
+    """(host, path, wiki_wins): how most pages of the host that have evidence of their own mean this path."""
+    ballots = scored.where("wiki_score <> markdown_score AND path <> ''").select(F.col(host), "path", F.when(F.col("wiki_score") > F.col("markdown_score"), 1).otherwise(-1).alias("ballot"))
+    return ballots.groupBy(host, "path").agg((F.sum("ballot") > 0).alias("wiki_wins"))
 
 
 def structures(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
     """(key, kind, content) of every heading, list item, code block and formula, in plain text.
 
-    Pages without evidence of their dialect take their host's. Hosts meet pages in a join whose key is the page itself
+    Pages without evidence of their dialect read their path as most pages of their host do; where no page of the host can
+    tell, a run of ``# x`` lines is a list and a line on its own a heading. Hosts meet pages in a join whose key is the page itself
     for pages that need no vote, so no host is a hot key for them. NULL and empty texts give no rows; NULL hosts are one
     host; repeated rows give repeated results; an empty table gives no rows; further columns are ignored.
     """
     base = df.select(F.col(key), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_text")).where("_text IS NOT NULL AND _text <> ''")
     scored = score(base, F.col("_text"))
-    votes = vote(scored, "_host").withColumnRenamed("_host", "_lookup")
-    open_ = F.col("wiki_score") == F.col("markdown_score")
-    lookup = F.when(open_, F.col("_host")).otherwise(F.concat(F.lit("\x00"), F.xxhash64(key, "_text").cast("string")))
+    name = F.concat("_host", F.lit("\x00"), "path")
+    votes = vote(scored, "_host").select(name.alias("_lookup"), "wiki_wins")
+    open_ = (F.col("wiki_score") == F.col("markdown_score")) & (F.col("path") != "")
+    lookup = F.when(open_, name).otherwise(F.concat(F.lit("\x00"), F.xxhash64(key, "_text").cast("string")))
     pages = scored.withColumn("_lookup", lookup).join(votes, "_lookup", "left")
-    wiki = F.when(open_, F.coalesce("wiki_wins", F.lit(False))).otherwise(F.col("wiki_score") > F.col("markdown_score"))
+    wiki = F.when(open_, F.coalesce("wiki_wins", F.col("path") == "#+")).otherwise(F.col("wiki_score") > F.col("markdown_score"))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
