@@ -45,7 +45,7 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
     ways = trees.where("state = 'tree'").select(F.col("id").alias("comment_id"), F.posexplode("path").alias("pos", "ancestor")).join(own, "ancestor")
     keys = ways.groupBy("comment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"]).alias("key"))
     keyed = comments.join(keys, "comment_id", "left").withColumns({"depth": F.size("key") - 1, "stray": F.col("key").isNull()})
-    return rank_within(keyed, "page_id", ["stray", "key", "created_at", "comment_id"], "position").drop("key", "stray")
+    return rank_within(keyed, "page_id", ["stray", "key", F.col("created_at").asc_nulls_last(), "comment_id"], "position").drop("key", "stray")
 
 
 def comment_blocks(ordered: DataFrame) -> DataFrame:

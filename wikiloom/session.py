@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,22 @@ def build_session(app: str = "wikiloom", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
-    return builder.config(map=settings).getOrCreate()
+    return ship_package(builder.config(map=settings).getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of all executors, wherever they run; done once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_wikiloom_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="wikiloom-")) / "wikiloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._wikiloom_shipped = True
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
