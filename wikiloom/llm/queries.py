@@ -70,7 +70,37 @@ _LAST = """SELECT TRY_CAST(trim(id) AS BIGINT) AS page_id, storage_format_sample
   WHERE run_id = (SELECT max(run_id) FROM page_records)
   QUALIFY row_number() OVER (PARTITION BY TRY_CAST(trim(id) AS BIGINT) ORDER BY crawled_at DESC NULLS LAST) = 1"""
 
+def _twins_to_latin() -> tuple[str, str]:
+    """Every letter with a Latin twin (accented ones too), width form and kind of space, and what it reads like."""
+    import unicodedata
+
+    pairs = {b: a for own in canonical.TWINS.values() for a, b in own}
+    pairs |= {chr(cp): chr(cp - 0xFEE0) for cp in range(0xFF01, 0xFF5F)}
+    pairs |= {c: " " for c in "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"} | {"\u2010": "-", "\u2011": "-"}
+    for cp in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(cp))
+        whole = unicodedata.normalize("NFC", pairs.get(base, base) + "".join(marks))
+        if marks and base in pairs and len(whole) == 1:
+            pairs[chr(cp)] = whole
+    pairs |= {chr(cp): unicodedata.normalize("NFKC", chr(cp)) for cp in range(0xFF61, 0xFF9E)} | {"\uff9e": "\u3099", "\uff9f": "\u309a"}
+    return "".join(pairs), "".join(pairs.values())
+
+
+def _p9_sql() -> str:
+    """Look-alikes by one skeleton: everything that has a Latin twin becomes Latin. It names no script, so it is no form
+    to store text in, but two texts have the same skeleton exactly if they read the same."""
+    old, new = ("'" + x.replace("'", "''") + "'" for x in _twins_to_latin())
+    text = f"translate(regexp_replace(text, '[\\x{{00ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g'), {old}, {new})"
+    for cp in range(0xFB00, 0xFB05):
+        import unicodedata
+
+        text = f"replace({text}, '{chr(cp)}', '{unicodedata.normalize('NFKC', chr(cp))}')"
+    return f"""WITH d AS (SELECT doc_id, text, nfc_normalize({text}) AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""
+
+
 SQL = {
+    "p9_found": _p9_sql(),
     "p2_found": f"""
 SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'natural' END AS cut_type
 FROM ({_LAST}) WHERE length(t) > 3000""",
