@@ -86,20 +86,37 @@ def _twins_to_latin() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
-def _p9_sql() -> str:
-    """Look-alikes by one skeleton: everything that has a Latin twin becomes Latin. It names no script, so it is no form
-    to store text in, but two texts have the same skeleton exactly if they read the same."""
+def _skeleton() -> str:
+    """SQL for a form in which everything that has a Latin twin is Latin. It names no script, so it is no form to store
+    text in, but two texts have the same skeleton exactly if they read the same."""
+    import unicodedata
+
     old, new = ("'" + x.replace("'", "''") + "'" for x in _twins_to_latin())
     text = f"translate(regexp_replace(text, '[\\x{{00ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g'), {old}, {new})"
     for cp in range(0xFB00, 0xFB05):
-        import unicodedata
-
         text = f"replace({text}, '{chr(cp)}', '{unicodedata.normalize('NFKC', chr(cp))}')"
-    return f"""WITH d AS (SELECT doc_id, text, nfc_normalize({text}) AS form FROM documents WHERE text IS NOT NULL)
+    return f"nfc_normalize({text})"
+
+
+def _p8_sql() -> str:
+    """Windows of thirteen words that agree in the first or the last six and in at least twelve."""
+    plain = r"regexp_replace(regexp_replace(text, '\[([^\[\]\n]*)\]\([^()\s]*\)', '\1', 'g'), '</?(b|i|u|em|strong|span|code|a|s)\b[^<>]*>', '', 'gi')"
+    plain = rf"regexp_replace({plain}, '<[a-zA-Z/!][^<>]*>|&(amp|lt|gt|nbsp|quot|#39);', ' ', 'g')"
+    word = f"regexp_extract_all(replace(lower({_skeleton().replace('(text,', f'({plain},')}), 'ß', 'ss'), '[\\pL\\pN\\pM]+')"
+    return f"""WITH d AS (SELECT doc_id, {word} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {word} AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13), ew AS (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e WHERE len(w) >= 13),
+dg AS (SELECT doc_id, w[i:i + 12] AS g FROM dw), eg AS (SELECT item_id, w[i:i + 12] AS g FROM ew),
+pairs AS (SELECT doc_id, item_id, dg.g AS a, eg.g AS b FROM dg JOIN eg ON dg.g[1:6] = eg.g[1:6] UNION ALL SELECT doc_id, item_id, dg.g, eg.g FROM dg JOIN eg ON dg.g[8:13] = eg.g[8:13])
+SELECT DISTINCT doc_id, item_id FROM pairs WHERE len(list_filter(range(1, 14), lambda k: a[k] = b[k])) >= 12"""
+
+
+def _p9_sql() -> str:
+    return f"""WITH d AS (SELECT doc_id, text, {_skeleton()} AS form FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""
 
 
 SQL = {
+    "p8_found": _p8_sql(),
     "p9_found": _p9_sql(),
     "p2_found": f"""
 SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'natural' END AS cut_type
