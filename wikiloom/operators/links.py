@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom.functions import urls
 from wikiloom.functions.text import col, strip_white
+from wikiloom.operators.nested import fold_keys
 
 _HREF, _URL = '"href"\\s*:\\s*"([^"]+)"', '"url"\\s*:\\s*"([^"]+)"'
 MARKDOWN_LINK = r"\[[^\]]+\]\(([^)\s]+)\)"
@@ -85,7 +86,7 @@ def label_queries(document: str | None) -> list[str]:
     if not document or '"contentbylabel"' not in document:
         return []
     try:
-        root = json.loads(document)
+        root = json.loads(document, object_pairs_hook=fold_keys)
     except (ValueError, RecursionError):
         return []
     out, todo = [], [root]

@@ -25,7 +25,7 @@ _FIELDS = [x.split() for x in FLAT.split(", ")]
 _ROWS_PER_BATCH = 20_000
 
 
-def _pairs(pairs: list) -> dict:
+def fold_keys(pairs: list) -> dict:
     """Keys that matter are read in any case; of keys that differ in case only, the last one counts."""
     out = {}
     for k, v in pairs:
@@ -43,7 +43,7 @@ def parse_document(text: str | None) -> dict | None:
         if text is None:
             return None
         try:
-            found = json.loads(text.strip().lstrip("\ufeff"), object_pairs_hook=_pairs, parse_constant=_refuse)
+            found = json.loads(text.strip().lstrip("\ufeff"), object_pairs_hook=fold_keys, parse_constant=_refuse)
         except RecursionError:
             found = parse_deep(text)
         except ValueError:
@@ -121,7 +121,7 @@ def _key(text: str, i: int, frame: tuple, scan, space: str) -> int:
 
 
 def _close(frame: tuple):
-    return _pairs(frame[1]) if frame[0] == "{" else frame[1]
+    return fold_keys(frame[1]) if frame[0] == "{" else frame[1]
 
 
 def _name(value) -> str:

@@ -407,4 +407,14 @@ SELECT a.id, a.title, b.title AS old_title FROM t a JOIN t b ON a.id = b.id AND
     "rewrite_stats": f"""WITH {_LAST}, m AS (SELECT id, unnest(regexp_extract_all(storage_format_sample, '\\[[^\\]]+\\]\\(([^)\\s]+)\\)', 1)) AS t FROM last),
 x AS (SELECT m.id, l.id IS NOT NULL AS hit FROM m LEFT JOIN last l ON l.id = coalesce(nullif(regexp_extract(t, '[?&]pageId=([0-9]+)', 1), ''), regexp_extract(t, '/spaces/[^/]+/pages/([0-9]+)', 1)) AND trim(l.local_path) <> '')
 SELECT (SELECT count(*) FROM last) AS pages_processed, count(DISTINCT id) FILTER (hit) AS pages_updated, count(*) AS links_seen, count(*) FILTER (hit) AS links_rewritten FROM x""",
+    "label_queries": f"""WITH {_PAGES} SELECT query, count(*) AS uses FROM (
+  SELECT unnest(regexp_extract_all(adf, '"cql"\\s*:\\s*\\{{\\s*"value"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"', 1)) AS q, replace(q, '\\"', '"') AS query FROM pages
+  WHERE adf LIKE '%"contentbylabel"%' AND json_valid(adf)) GROUP BY 1""",
+    "rewrite_links": f"""WITH {_LAST}, p AS (SELECT id, storage_format_sample AS t, '\\[[^\\]]+\\]\\(([^)\\s]+)\\)' AS pat FROM last),
+x AS (SELECT id, t, regexp_split_to_array(t, pat) AS s, regexp_extract_all(t, pat, 0) AS l, regexp_extract_all(t, pat, 1) AS u FROM p),
+r AS (SELECT id, s, l, u, unnest(range(1, len(s) + 1)) AS i FROM x),
+n AS (SELECT r.id, i, s[i] AS piece, l[i] AS link, u[i] AS url, k.local_path || coalesce('#' || nullif(regexp_extract(u[i], '#(.+)$', 1), ''), '') AS target FROM r
+  LEFT JOIN last k ON i <= len(l) AND trim(k.local_path) <> '' AND k.id = coalesce(nullif(regexp_extract(u[i], '[?&]pageId=([0-9]+)', 1), ''), regexp_extract(u[i], '/spaces/[^/]+/pages/([0-9]+)', 1))),
+o AS (SELECT id, string_agg(piece || CASE WHEN link IS NULL THEN '' WHEN target <> url THEN left(link, len(link) - len(url) - 1) || target || ')' ELSE link END, '' ORDER BY i) AS markdown, count(*) FILTER (target <> url) AS n FROM n GROUP BY 1)
+SELECT x.id, coalesce(o.markdown, x.t) AS markdown, coalesce(len(l), 0) AS links_seen, coalesce(n, 0) AS links_rewritten FROM x LEFT JOIN o ON o.id = x.id""",
 }
