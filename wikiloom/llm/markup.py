@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wikiloom.session import materialize
+
 HEADING, ITEM, CODE, FORMULA = "heading", "list_item", "code", "formula"
 #: Line forms that one of the two line-based dialects alone has (Java and Python regular expressions).
 WIKI_ONLY = r"(?m)^h[1-6]\. |\{(?:code|noformat|color|quote|panel)[:}]|^\|\||\{\{[^{}\n]+\}\}|\[[^\]\[|\n]+\|[^\]\s]+\]|^\*\*+ |^bq\. "
@@ -444,7 +446,8 @@ def structures(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
     host; repeated rows give repeated results; an empty table gives no rows; further columns are ignored.
     """
     base = df.select(F.col(key), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_text")).where("_text IS NOT NULL AND _text <> ''")
-    scored = score(base, F.col("_text"))
+    # Written once, since both the vote and the extraction read it: what comes before is neither run nor shuffled twice.
+    scored = materialize(score(base, F.col("_text")))
     name = F.concat("_host", F.lit("\x00"), "path")
     votes = vote(scored, "_host").select(name.alias("_lookup"), "wiki_wins")
     open_ = (F.col("wiki_score") == F.col("markdown_score")) & (F.col("path") != "")
