@@ -81,3 +81,10 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, "<|endoftext|>"), (5, "a" * 50_000)], "doc_id int, text string")
     got = {r.doc_id: r.tokens for r in token_counts(df, "doc_id", "text", TOKENIZER).collect()}
     assert got[1] == got[2] == 0 and got[3] == 2 and got[4] > 1 and got[5] > 1000
+
+
+def test_both_libraries_count_alike():
+    from wikiloom.llm.packing import token_counter
+
+    texts = ["It's  a test, x_1 = 2!\n\n日本語 café \U0001f680", "", " ", "\t\ta"]
+    assert token_counter(TOKENIZER)(texts) == token_counter(TOKENIZER.replace(".tiktoken", ".json"))(texts)

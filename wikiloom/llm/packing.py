@@ -11,10 +11,12 @@ groups, and meet their placement in a broadcast join.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import os
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,7 +24,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wikiloom.session import materialize
 
 CAPACITY = 2048
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: File of the public tokenizer: ``.tiktoken`` ranks of a byte-level BPE, or a ``.json`` of the tokenizers library.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how that tokenizer splits text before it merges bytes.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items that are numbered in one sorted group.
 PER_GROUP = 500_000
 PLACEMENTS = "size int, first_rank bigint, n bigint, first_container bigint"
@@ -81,21 +86,35 @@ def _fill(counts: dict[int, int], size: int, capacity: int) -> int:
     return held
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, tokens) with the public tokenizer in the file ``tokenizer``, which all executors must have."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lru_cache(maxsize=2)
+def token_counter(path: str, pattern: str = PATTERN) -> Callable[[list[str]], list[int]]:
+    """Counts the tokens of texts; loaded once per worker. Special tokens in a text count as ordinary text."""
+    if path.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
+        model = Tokenizer.from_file(path)
         model.encode_special_tokens = True
+        return lambda texts: [len(e.ids) for e in model.encode_batch(texts, add_special_tokens=False)]
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+
+
+def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(key, tokens) with the public tokenizer in the file ``tokenizer``, which all executors must have; NULL has none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = token_counter(tokenizer)
         for batch in batches:
+            texts = batch.column(1)
             sizes = []
-            texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 256):
-                sizes += [len(e.ids) for e in model.encode_batch([t or "" for t in texts[a : a + 256]], add_special_tokens=False)]
+                sizes += count([t or "" for t in texts[a : a + 256].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, "tokens"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, tokens bigint")
