@@ -39,7 +39,7 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
     gives the order, and neither a thread nor a page has to fit into one task.
     """
     nodes = comments.select(F.col("page_id").cast("string").alias("scope"), F.col("comment_id").alias("id"), F.col("parent_id").alias("parent"))
-    trees = resolve_hierarchy(nodes)
+    trees = resolve_hierarchy(nodes, unique=True)
     step = F.struct(F.col("created_at").isNull().alias("late"), F.col("created_at").alias("at"), F.col("comment_id").alias("id"))
     own = comments.select(F.col("comment_id").alias("ancestor"), step.alias("step"))
     ways = trees.where("state = 'tree'").select(F.col("id").alias("comment_id"), F.posexplode("path").alias("pos", "ancestor")).join(own, "ancestor")
