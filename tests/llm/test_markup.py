@@ -17,6 +17,10 @@ CASES = [
     ('<h2 id="s"\n class="a">A &amp; <b>b</b></h2><ul><li><p>one</p><ul><li>in&nbsp;x</li></ul></li></ul><pre><code class="l">a &lt; b\n c</code></pre>', False, [(H, "A & b"), (L, "in x"), (L, "one"), (C, "a < b c")]),
     ('<ac:structured-macro ac:name="code"><ac:parameter ac:name="l">x</ac:parameter><ac:plain-text-body><![CDATA[if (a < b) {}]]></ac:plain-text-body></ac:structured-macro><p>t \\(a &lt; b\\)</p>', False, [(C, "if (a < b) {}"), (M, "a < b")]),
     ("| a | b |\n| --- | --- |\n| # no | - no |", False, []),
+    ("<p>open\n\n# head\n\n<p>a<p>b</p>\n- item\n\n<h2>cut\n\n- more", False, [(H, "head"), (L, "item"), (H, "cut"), (L, "more")]),
+    ("\\[ a \\\\[2pt] b \\] and \\(x\\)", False, [(M, "a \\\\[2pt] b"), (M, "x")]),
+    ("text \\[ a \\\\[2pt] b \\] end", False, [(M, "a \\\\[2pt] b")]),
+    ("<pre>a\n\nb</pre>", False, [(C, "a b")]),
     ("", False, []),
     (None, True, []),
 ]

@@ -31,14 +31,10 @@ def strongest_cut(text: str, a: int, b: int) -> int | None:
     after = re.compile(r"\s").search(text, mid, b)
     up = None if after is None else after.start() if a < after.start() else after.end() if after.end() < b else None
     down = None
-    i = mid
-    while i > a:
-        if text[i - 1].isspace():
-            down = i if i < b else None
-            break
-        i -= 1
-    if down is None and i > a and text[i - 1].isspace() and i - 1 > a:
-        down = i - 1
+    if text[mid - 1].isspace():
+        down = mid
+    elif (words := text[a:mid].rsplit(None, 1)) and (len(words) == 2 or text[a].isspace()):
+        down = mid - len(words[-1])
     known = [x for x in (up, down) if x is not None]
     return min(known, key=lambda x: (abs(x - mid), x)) if known else None
 

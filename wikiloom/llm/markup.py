@@ -31,6 +31,8 @@ _BLOCK_TAGS = "h[1-6]|p|ul|ol|li|dl|dt|dd|pre|table|thead|tbody|tfoot|tr|td|th|d
 _HTML_START = re.compile(rf"<(?:{_BLOCK_TAGS})(?=[\s>/])", re.IGNORECASE)
 _TOKEN = re.compile(r"<!\[CDATA\[(.*?)\]\]>|<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
 _BLOCK = re.compile(rf"(?:{_BLOCK_TAGS}|br)$", re.IGNORECASE)
+_FLAT = frozenset({"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"})
+_FLAT_STOP = re.compile(r"\n[ \t]*\n|<(?:p|h[1-6]|ul|ol|pre|table|div|ac:structured-macro)(?=[\s>/])", re.IGNORECASE)
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})([^`\n]*)$")
 _MATH_ENV = "equation|align|gather|multline|eqnarray|displaymath|math|flalign"
 _TEX_MATH = re.compile(rf"\s*\\begin\{{((?:{_MATH_ENV})\*?)\}}")
@@ -49,7 +51,7 @@ _BOX = re.compile(r"\[[ xX]\](?:\s+|$)")
 _ROW = re.compile(r"\s*\|")
 _QUOTE = re.compile(r"\s{0,3}>\s?|\s*bq\.\s+")
 _INLINE_MATH = re.compile(
-    rf"\\begin\{{((?:{_MATH_ENV})\*?)\}}(?P<e>.*?)\\end\{{\1\}}|\$\$(?P<d>.+?)\$\$|(?<!\\)\\\[(?P<b>.+?)\\\]|(?<!\\)\\\((?P<p>.+?)\\\)"
+    rf"\\begin\{{((?:{_MATH_ENV})\*?)\}}(?P<e>(?:(?!\\begin\{{\1\}}).)*?)\\end\{{\1\}}|\$\$(?P<d>.+?)\$\$|(?<!\\)\\\[(?P<b>(?:(?!(?<!\\)\\\[).)+?)\\\]|(?<!\\)\\\((?P<p>(?:(?!(?<!\\)\\\().)+?)\\\)"
     r"|(?<![\\$\w])\$(?![\s$])(?P<i>(?!\d)[^$\n]*?[^$\s\\]|\d[^$\n]*[\\^_=][^$\n]*?[^$\s\\])\$(?![\d$])",
     re.DOTALL,
 )
@@ -131,6 +133,12 @@ def _element_end(text: str, at: int) -> int:
     name = m[3].lower()
     if name in ("hr", "br") or m[4].endswith("/") or m[2]:
         return m.end()
+    if name in _FLAT:  # never within itself: ends at the first closing tag, else at the next block or blank line
+        end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(text, m.end())
+        stop = _FLAT_STOP.search(text, m.end())
+        if end and (name == "pre" or not stop or end.start() < stop.start()):
+            return end.end()
+        return stop.start() if stop else len(text)
     depth, i = 1, m.end()
     while (m := _TOKEN.search(text, i)) is not None:
         i = m.end()
