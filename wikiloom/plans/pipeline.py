@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.functions import urls
@@ -166,9 +167,9 @@ def _fresh_records(dirty: DataFrame, text: DataFrame, inputs: Inputs, comments:
     """Records of rendered pages; a page whose text is broken is left out here and keeps its previous record."""
     names = com.users(inputs.api_users)
 
-    @F.udf("string")
-    def path(title, key):
-        return page_filename(title or "", key)
+    @F.pandas_udf("string")
+    def path(title: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([page_filename(t or "", k) for t, k in zip(title, key, strict=True)], dtype=object)
 
     stored = results.where("error IS NULL").groupBy("page_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("attachments/"), "filename"))).alias("attachments"))
     counts = comments.groupBy("page_id").agg(F.count("*").cast("int").alias("comment_count"))
