@@ -222,3 +222,14 @@ def test_config():
     assert c.base_url() == "https://h/wiki" and Config(seeds=["https://h/a"]).base_url() == "https://h"
     with pytest.raises(ValueError, match="username is required; .*api_token.*seed 'x'.*max_retries"):
         Config(seeds=["x"], max_retries=0).check()
+
+
+def test_blobs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"12345")
+    (tmp_path / "in" / "b").write_bytes(b"1" * 50)
+    blobs = attachments.read_blobs(spark, f"file://{tmp_path}/in", 10).select(F.regexp_extract("path", "([^/]+)$", 1).alias("attachment_id"), "content")
+    planned = spark.createDataFrame([("1_a.txt", "a", None), ("1_b.txt", "b", None), (None, "c", "no id")], "filename string, attachment_id string, error string")
+    attachments.copy_blobs(planned, blobs, str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["1_a.txt"] and (tmp_path / "out/1_a.txt").read_bytes() == b"12345"

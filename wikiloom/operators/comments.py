@@ -12,12 +12,13 @@ from wikiloom.operators.render import try_render
 from wikiloom.operators.snapshots import latest_rows
 
 
-def current_comments(api_comments: DataFrame) -> DataFrame:
-    """The row of each comment that was updated last, ids stripped."""
+def current_comments(api_comments: DataFrame, body: bool = True) -> DataFrame:
+    """The row of each comment that was updated last, ids stripped; without ``body`` texts are neither read nor shuffled."""
+    texts = ["body"] if body else []
     rows = api_comments.select(
-        blank_to_null("comment_id").alias("comment_id"), "page_id", blank_to_null("parent_id").alias("parent_id"), strip_white("author_id").alias("author_id"), "created_at", "updated_at", "body"
+        blank_to_null("comment_id").alias("comment_id"), "page_id", blank_to_null("parent_id").alias("parent_id"), strip_white("author_id").alias("author_id"), "created_at", "updated_at", *texts
     ).where("comment_id IS NOT NULL")
-    return latest_rows(rows, ["comment_id"], [F.col("updated_at")], ["page_id", "parent_id", "author_id", "created_at", "body", "updated_at"])
+    return latest_rows(rows, ["comment_id"], [F.col("updated_at")], ["page_id", "parent_id", "author_id", "created_at", "updated_at", *texts])
 
 
 def users(api_users: DataFrame) -> DataFrame:

@@ -63,10 +63,11 @@ def crawl_stats(reached: DataFrame, edges: DataFrame, external: DataFrame) -> Da
     live, gone = reached.where("state = 'ok'").select(F.col("page_id").alias("src")), reached.where("state = 'deleted'").select(F.col("page_id").alias("dst"))
     links = edges.join(live, "src", "left_semi").join(gone, "dst", "left_anti")
     skipped = external.join(live.withColumnRenamed("src", "page_id"), "page_id", "left_semi")
-    pages = reached.agg(F.count("*").alias("total_pages"), F.lit(1).alias("one"))
-    sums = links.agg(F.count("*").alias("total_links"), F.count_distinct("dst").alias("unique_targets"), F.lit(1).alias("one"))
-    out = skipped.agg(F.coalesce(F.sum("external"), F.lit(0)).alias("external_skipped"), F.lit(1).alias("one"))
-    return pages.join(sums, "one").join(out, "one").drop("one")
+    pages = reached.agg(F.count("*").alias("total_pages"))
+    sums = links.agg(F.count("*").alias("total_links"), F.count_distinct("dst").alias("unique_targets"))
+    out = skipped.agg(F.coalesce(F.sum("external"), F.lit(0)).alias("external_skipped"))
+    rows = pages.unionByName(sums, allowMissingColumns=True).unionByName(out, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def depth_distribution(reached: DataFrame) -> DataFrame:

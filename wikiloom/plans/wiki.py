@@ -12,6 +12,11 @@ from wikiloom.plans.general import _strip
 from wikiloom.sources.tables import last_value, read_table
 
 HOST, ORIGIN, MAX_DEPTH, MAX_MB = "wiki.example.org", "https://wiki.example.org", 3, 1
+_CARRIED = ("title", "local_path", "version", "outgoing_links", "incoming_links", "attachments", "attachment_signature", "depth")
+_HEAD = (
+    "title", "source_url", "canonical_url", "space_key", "created_at", "created_by_name", "last_modified_at", "last_modified_by_name",
+    "confluence_parent_id", "comment_count", "comments_fetch_error", "attachments",
+)
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,9 +32,10 @@ def _narrow(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return snapshots.latest_rows(rows, ["page_id"], [F.col("version.number")], list(columns))
 
 
-def _last(spark: SparkSession, folder: str) -> DataFrame:
+def _last(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Records of the last snapshot with the columns that are asked for; others are neither read nor shuffled."""
     table = read_table(spark, folder, "page_records")
-    return records.snapshot_records(table, last_value(table, "run_id"))
+    return records.snapshot_records(table.select("run_id", "id", "crawled_at", *columns), last_value(table, "run_id"))
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +66,7 @@ def outgoing_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incoming_links(spark: SparkSession, folder: str) -> DataFrame:
-    found = links.incoming(_last(spark, folder).select("id", "outgoing_links"), "id", "outgoing_links")
+    found = links.incoming(_last(spark, folder, "outgoing_links").select("id", "outgoing_links"), "id", "outgoing_links")
     return found.select("id", F.array_join("incoming", ",").alias("incoming"))
 
 
@@ -70,7 +76,7 @@ def bfs_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Edges of the last snapshot's records, and its pages with the status that the API has for them."""
-    last = _last(spark, folder).select(F.col("id").try_cast("bigint").alias("page_id"), "outgoing_links")
+    last = _last(spark, folder, "outgoing_links").select(F.col("id").try_cast("bigint").alias("page_id"), "outgoing_links")
     edge_rows = last.select(F.col("page_id").alias("src"), F.explode(links.parse_ids("outgoing_links")).alias("dst"))
     return edge_rows, last.select("page_id").join(_narrow(spark, folder, "status"), "page_id", "left")
 
@@ -95,18 +101,18 @@ def _deleted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prune_deleted_links(spark: SparkSession, folder: str) -> DataFrame:
-    found = links.without_deleted(_last(spark, folder).select("id", "outgoing_links"), "id", "outgoing_links", _deleted(spark, folder))
+    found = links.without_deleted(_last(spark, folder, "outgoing_links").select("id", "outgoing_links"), "id", "outgoing_links", _deleted(spark, folder))
     return found.select("id", F.array_join("outgoing", ",").alias("outgoing"))
 
 
 def prune_metadata(spark: SparkSession, folder: str) -> DataFrame:
     gone = F.lower(strip_white("status")) == "trashed"
     crawled = _narrow(spark, folder, "status").select("page_id", F.when(gone, "deleted").otherwise("ok").alias("state"))
-    return records.prune(_last(spark, folder).select("id", "title"), crawled).select("id")
+    return records.prune(_last(spark, folder), crawled).select("id")
 
 
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
-    prev = _last(spark, folder).select(F.col("id").try_cast("bigint").alias("page_id"), "title", "version", F.col("attachment_signature").alias("signature"))
+    prev = _last(spark, folder, "title", "version", "attachment_signature").select(F.col("id").try_cast("bigint").alias("page_id"), "title", "version", F.col("attachment_signature").alias("signature"))
     live = _narrow(spark, folder, "title", "status", "version").select(
         "page_id", strip_white("title").alias("title"), "status", F.col("version.number").alias("version"), F.lit(True).alias("found"), F.lit(None).cast("string").alias("error")
     )
@@ -125,7 +131,7 @@ def updates_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def carry_over_records(spark: SparkSession, folder: str) -> DataFrame:
     found = _classified(spark, folder).withColumn("depth", F.lit(0))
-    kept = records.carry_over(found, _last(spark, folder).drop("storage_format_sample"))
+    kept = records.carry_over(found, _last(spark, folder, *_CARRIED))
     return kept.select("page_id", "version", "attachment_signature", F.array_join(links.parse_ids("outgoing_links").cast("array<string>"), ",").alias("outgoing"), "error")
 
 
@@ -155,7 +161,7 @@ def seed_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seed_index(spark: SparkSession, folder: str) -> DataFrame:
-    return records.index_lines(_last(spark, folder), _seeds(spark, folder))
+    return records.index_lines(_last(spark, folder, "title", "local_path", "source_url"), _seeds(spark, folder))
 
 
 def author_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +171,7 @@ def author_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comment_order(spark: SparkSession, folder: str) -> DataFrame:
-    found = com.ordered_comments(com.current_comments(read_table(spark, folder, "api_comments")).drop("body"))
+    found = com.ordered_comments(com.current_comments(read_table(spark, folder, "api_comments"), body=False))
     return found.select("page_id", "comment_id", "position", "depth")
 
 
@@ -209,7 +215,7 @@ def _link_lines(spark: SparkSession, folder: str) -> DataFrame:
 def label_enrich(spark: SparkSession, folder: str) -> DataFrame:
     lines = _link_lines(spark, folder)
     absolute = lines.select("page_id", F.replace("markdown", F.lit("[/wiki"), F.lit(f"[{ORIGIN}/wiki")).alias("m")).select("page_id", links.absolutize("m", ORIGIN).alias("markdown"))
-    titles = _last(spark, folder).select(F.col("id").try_cast("bigint").alias("page_id"), "title")
+    titles = _last(spark, folder, "title").select(F.col("id").try_cast("bigint").alias("page_id"), "title")
     return links.enrich_labels(absolute, "page_id", "markdown", titles)
 
 
@@ -218,8 +224,8 @@ def absolutize_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rewrite_links(spark: SparkSession, folder: str) -> DataFrame:
-    last = _last(spark, folder)
-    paths = last.select(F.col("id").try_cast("bigint").alias("page_id"), managed_path("local_path").alias("local_path")).where("local_path IS NOT NULL")
+    last = _last(spark, folder, "local_path", "storage_format_sample")
+    paths = _last(spark, folder, "local_path").select(F.col("id").try_cast("bigint").alias("page_id"), managed_path("local_path").alias("local_path")).where("local_path IS NOT NULL")
     return links.rewrite(last.select("id", "storage_format_sample"), "id", "storage_format_sample", paths)
 
 
@@ -230,18 +236,18 @@ def rewrite_stats(spark: SparkSession, folder: str) -> DataFrame:
 def attachment_links(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of the last snapshot with links to attachments of the page, by file id or name."""
     results = att.outcomes(_attachments(spark, folder), 0).withColumn("id", F.col("page_id").cast("string")).drop("page_id")
-    texts = _last(spark, folder).select("id", "storage_format_sample").where(F.col("storage_format_sample").contains("](attachment://"))
+    texts = _last(spark, folder, "storage_format_sample").select("id", "storage_format_sample").where(F.col("storage_format_sample").contains("](attachment://"))
     return links.rewrite_attachments(texts, "id", "storage_format_sample", results)
 
 
 def front_matter(spark: SparkSession, folder: str) -> DataFrame:
-    last = _last(spark, folder).drop("storage_format_sample")
+    last = _last(spark, folder, *_HEAD)
     return records.front_matter(records.seed_flags(last, _seeds(spark, folder)))
 
 
 def seed_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """Page id and space key of each page's URLs, read as seeds."""
-    seeds = _last(spark, folder).select(F.explode(F.array("source_url", "canonical_url", "id")).alias("seed")).where("seed IS NOT NULL").distinct()
+    seeds = _last(spark, folder, "source_url", "canonical_url").select(F.explode(F.array("source_url", "canonical_url", "id")).alias("seed")).where("seed IS NOT NULL").distinct()
     return seeds.select("seed", urls.seed_page_id("seed").alias("page_id"), urls.space_key("seed").alias("space_key"))
 
 
@@ -284,7 +290,7 @@ def renamed_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def spaces(spark: SparkSession, folder: str) -> DataFrame:
     """Pages, failures and signatures per space in the last snapshot."""
-    rows = _last(spark, folder).select("space_key", "fetch_error", canonical_signature("attachment_signature").alias("s"))
+    rows = _last(spark, folder, "space_key", "fetch_error", "attachment_signature").select("space_key", "fetch_error", canonical_signature("attachment_signature").alias("s"))
     return rows.groupBy("space_key").agg(F.count("*").alias("pages"), F.count_if(strip_white("fetch_error") != "").alias("failed"), F.count("s").alias("signed"))
 
 
