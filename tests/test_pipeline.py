@@ -64,6 +64,27 @@ def test_full_then_updates(spark, tmp_path):
     assert {r.path: r.outcome for r in second.artifacts.collect()} == {"page-1_1.md": "deleted", "new-title_1.md": "added", "page-2_2.md": "updated", "page-4_4.md": "deleted", "attachments/1_x_y.png": "updated"}
     pipeline.export(second, inputs(spark, changed), str(tmp_path), 2)
     assert not (tmp_path / "page-1_1.md").exists() and (tmp_path / "new-title_1.md").exists()
+    assert "- [New title](new-title_1.md) - source: <" in (tmp_path / "index.md").read_text()
+    (tmp_path / "page-2_2.md").write_text("kept as it is")
+    pipeline.export(second, inputs(spark, changed, second.records), str(tmp_path), 3)
+    assert (tmp_path / "page-2_2.md").read_text() == "kept as it is"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from wikiloom.__main__ import main
+
+    tables = inputs(spark, WIKI)
+    for name in ("api_pages", "api_comments", "api_attachments", "api_users"):
+        getattr(tables, name).write.parquet(f"file://{tmp_path}/t/{name}.parquet")
+    (tmp_path / "c.json").write_text(json.dumps({"username": "u", "api_token": "t", "seeds": [f"{BASE}/spaces/S/pages/1/T"]}))
+    common = ["--config", str(tmp_path / "c.json"), "--tables", str(tmp_path / "t"), "--out", str(tmp_path / "o")]
+    assert main(["validate", *common]) == 0
+    assert main(["run", *common, "--dry-run"]) == 0 and not (tmp_path / "o").exists()
+    assert main(["run", *common]) == 1  # a page is broken, so the run is complete but not successful
+    assert {"page-1_1.md", "index.md", "checkpoints.json", "CURRENT"} <= {p.name for p in (tmp_path / "o").iterdir()}
+    assert set(json.loads((tmp_path / "o/checkpoints.json").read_text())) == {"completed"}
+    assert main(["run", *common, "--mode", "updates", "--run-id", "2"]) == 1
+    assert "Pages reused without full re-processing: 2" in capsys.readouterr().out
 
 
 def test_dry_run_takes_the_same_decisions(spark):

@@ -74,5 +74,11 @@ def copy_blobs(planned: DataFrame, blobs: DataFrame, folder: str) -> None:
     rows.foreachPartition(write)
 
 
+def present(records: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(id, files): how many of each record's files are in the store; blobs has (path), relative like the records'."""
+    listed = records.select("id", F.explode("attachments").alias("path")).join(blobs.select("path"), "path", "left_semi")
+    return listed.groupBy("id").agg(F.count("*").alias("files"))
+
+
 def attachment_names(markdown: Column) -> Column:
     return F.regexp_extract_all(markdown, F.lit(re.escape("](attachment://") + "([^)]+)\\)"), F.lit(1))

@@ -11,6 +11,7 @@ works on ids. Text never passes through the driver.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wikiloom.functions import urls
-from wikiloom.functions.files import page_filename
+from wikiloom.functions.files import inside_folder, page_filename
 from wikiloom.functions.text import blank_to_null, strip_white
 from wikiloom.operators import attachments as att, comments as com, incremental, links, records, render, snapshots, traversal
 from wikiloom.session import materialize
@@ -49,6 +50,7 @@ class Result:
     metrics: dict
     depths: dict[int, int]
     artifacts: DataFrame | None
+    failed: int = 0
 
 
 def resolve_seeds(inputs: Inputs, pages: DataFrame) -> DataFrame:
@@ -160,7 +162,8 @@ def run(inputs: Inputs, base_url: str, now: datetime, mode: str = "full", max_de
     final = merged.drop("storage_format_sample", "incoming_links").join(local.select("id", F.col("markdown").alias("storage_format_sample")), "id").join(linked, "id")
     final = materialize(final)
     old = inputs.previous if inputs.previous is not None and mode == "updates" else final.limit(0)
-    return Result(reached, out, classified, final, metrics, depths, records.reconcile(old, final))
+    failed = text.where("error IS NOT NULL").count()
+    return Result(reached, out, classified, final, metrics, depths, records.reconcile(old, final), failed)
 
 
 def _fresh_records(dirty: DataFrame, text: DataFrame, inputs: Inputs, comments: DataFrame, results: DataFrame, outgoing: DataFrame, now: datetime) -> DataFrame:
@@ -214,23 +217,34 @@ def _merge(fresh: DataFrame, classified: DataFrame, inputs: Inputs) -> DataFrame
     return materialize(fresh.unionByName(kept.select(*columns)))
 
 
-def export(result: Result, inputs: Inputs, folder: str, run_id: int) -> None:
-    """Write pages with front matter, the snapshot, and remove stale files; ``folder`` is shared by all executors."""
-    import os
+def export(result: Result, inputs: Inputs, folder: str, run_id: int, successful: str = "never", completed: str = "never") -> None:
+    """Write pages with front matter, the index and the snapshot, and remove stale files.
 
+    ``folder`` is shared by all executors. A page whose text and path are those of its previous record is written only
+    if its file is missing.
+    """
     spark = result.records.sparkSession
-    seeds = spark.createDataFrame([(s,) for s in inputs.seeds], "seed string").select(urls.seed_page_id("seed").cast("string").alias("seed_id"))
-    wanted = ("comments_fetch_error",)
-    padded = result.records.withColumns({c: F.lit(None).cast("string") for c in wanted if c not in result.records.columns})
+    seeds = spark.createDataFrame(list(enumerate(inputs.seeds)), "pos int, seed string").select("pos", urls.seed_page_id("seed").cast("string").alias("seed_id"))
+    error = "comments_fetch_error"
+    padded = result.records if error in result.records.columns else result.records.withColumn(error, F.lit(None).cast("string"))
     heads = records.front_matter(records.seed_flags(padded, seeds))
-    body = result.records.join(heads, "id").select("local_path", F.concat("front_matter", F.lit("\n"), records.strip_front_matter("storage_format_sample")).alias("text"))
-    store.write_pages(body, folder)
+    body = result.records.join(heads, "id").select(
+        "id", "local_path", "storage_format_sample", F.concat("front_matter", F.lit("\n"), records.strip_front_matter("storage_format_sample")).alias("text")
+    )
+    same = F.lit(False)
+    if inputs.previous is not None:
+        before = inputs.previous.select("id", F.col("local_path").alias("old_path"), F.col("storage_format_sample").alias("old_text"))
+        body = body.join(before, "id", "left")
+        same = F.coalesce((F.col("old_path") == F.col("local_path")) & (F.col("old_text") == F.col("storage_format_sample")), F.lit(False))
+    store.write_pages(body.select("local_path", "text", same.alias("keep")), folder)
+    lines = [r.line for r in records.index_lines(result.records, seeds).orderBy("pos").collect()]
+    store.write_text(os.path.join(folder, "index.md"), records.index_page(lines, successful, completed))
     store.write_snapshot(result.records, folder, run_id)
 
     def remove(part) -> None:
         for row in part:
             target = os.path.join(folder, row.path)
-            if os.path.exists(target):
+            if inside_folder(folder, target) and os.path.exists(target):
                 os.remove(target)
 
     result.artifacts.where("outcome = 'deleted'").foreachPartition(remove)

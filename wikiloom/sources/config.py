@@ -27,6 +27,17 @@ class Config:
     post_hook: list[str] = field(default_factory=list)
     post_hook_enabled: bool = False
 
+    @classmethod
+    def from_text(cls, text: str, environ: dict[str, str] | None = None) -> Config:
+        """Settings from JSON, or from YAML where a YAML reader is installed."""
+        if not text.lstrip().startswith("{"):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError("settings that are not JSON need a YAML reader") from e
+            text = json.dumps(yaml.safe_load(text) or {})
+        return cls.from_json(text, environ)
+
     @classmethod
     def from_json(cls, text: str, environ: dict[str, str] | None = None) -> Config:
         """Settings from JSON; non-empty WIKI_USERNAME and WIKI_API_TOKEN win over it."""

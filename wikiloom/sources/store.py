@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wikiloom.functions.files import inside_folder
 from wikiloom.operators.records import record_errors
 
 RECORD = (
@@ -66,15 +67,25 @@ def clear_folder(folder: str) -> None:
         shutil.rmtree(full) if os.path.isdir(full) and not os.path.islink(full) else os.remove(full)
 
 
+def write_text(path: str, text: str) -> None:
+    """Write a file under another name and rename it, so that no reader and no second attempt sees a part."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(f"{path}.part", path)
+
+
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """One file per page of pages(local_path, text), in a folder that all executors share."""
+    """One file per page of pages(local_path, text), in a folder that all executors share; rows with ``keep`` are
+    written only where their file is missing."""
+    keep = F.col("keep") if "keep" in pages.columns else F.lit(False).alias("keep")
 
     def write(part) -> None:
         for row in part:
             target = os.path.join(folder, row.local_path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.part", "w", encoding="utf-8") as f:
-                f.write(row.text)
-            os.replace(f"{target}.part", target)
+            if not inside_folder(folder, target):
+                raise ValueError(f"{row.local_path} is outside of {folder}")
+            if not (row.keep and os.path.exists(target)):
+                write_text(target, row.text)
 
-    pages.select("local_path", "text").foreachPartition(write)
+    pages.select("local_path", "text", keep).foreachPartition(write)
