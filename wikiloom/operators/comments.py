@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from wikiloom.functions.text import blank_to_null, strip_white
 from wikiloom.operators.hierarchy import resolve_hierarchy
 from wikiloom.operators.ranking import rank_within
-from wikiloom.operators.render import try_render
+from wikiloom.operators.render import extensions, registered, try_render
 from wikiloom.operators.snapshots import latest_rows
 
 
@@ -51,10 +51,12 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
 
 def comment_blocks(ordered: DataFrame) -> DataFrame:
     """(page_id, position, block): one comment as Markdown, ready to be joined."""
+    blocks, cells = extensions()
 
     @F.pandas_udf("string")
     def body_text(s: pd.Series) -> pd.Series:
-        return pd.Series([_body(x) for x in s], dtype=object)
+        with registered(blocks, cells):
+            return pd.Series([_body(x) for x in s], dtype=object)
 
     author = F.coalesce(blank_to_null("author"), blank_to_null("author_id"), F.lit("Unknown Author"))
     day = F.coalesce(F.date_format("created_at", "d MMMM yyyy"), F.lit("unknown"))

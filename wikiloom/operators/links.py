@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
@@ -10,16 +9,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom.functions import urls
 from wikiloom.functions.text import col, strip_white
-from wikiloom.operators.nested import fold_keys
+from wikiloom.operators.nested import parse_json
 
 _HREF, _URL = '"href"\\s*:\\s*"([^"]+)"', '"url"\\s*:\\s*"([^"]+)"'
 MARKDOWN_LINK = r"\[[^\]]+\]\(([^)\s]+)\)"
 
 
+def targets_in(document: Column | str) -> Column:
+    """array<string> of the links in a raw document text: all ``href`` first, then all ``url`` (JVM-side)."""
+    d = col(document)
+    return F.concat(F.regexp_extract_all(d, F.lit(_HREF), F.lit(1)), F.regexp_extract_all(d, F.lit(_URL), F.lit(1)))
+
+
 def link_targets(pages: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, pos, target) of every link in the raw document text: all ``href`` first, then all ``url``."""
-    d = F.col(document)
-    found = F.concat(F.regexp_extract_all(d, F.lit(_HREF), F.lit(1)), F.regexp_extract_all(d, F.lit(_URL), F.lit(1)))
+    """(key, pos, target) of every link; ``document`` is a raw document text, or what :func:`targets_in` found in it."""
+    found = targets_in(document) if pages.schema[document].dataType.simpleString() == "string" else F.col(document)
     return pages.select(key, F.posexplode(found).alias("pos", "target")).withColumn("target", strip_white("target"))
 
 
@@ -85,11 +89,7 @@ def label_queries(document: str | None) -> list[str]:
     """Queries of the content-by-label macros of a document, in document order; none for broken ones."""
     if not document or '"contentbylabel"' not in document:
         return []
-    try:
-        root = json.loads(document, object_pairs_hook=fold_keys)
-    except (ValueError, RecursionError):
-        return []
-    out, todo = [], [root]
+    out, todo = [], [parse_json(document)]
     while todo:
         node = todo.pop()
         if not isinstance(node, dict):

@@ -2,8 +2,9 @@
 
 Every node gets an ordinal path (Dewey label): the positions in the child arrays from the outermost inwards. The parent
 is the label without its last part, so links need no second pass and no join. Nodes, attributes and marks come out of
-one pass over the documents, as rows of one stream that are told apart by ``kind``; a node's schema path (the types from
-the outermost to its own) says which table it belongs to.
+one pass over the documents, as rows of one stream that are told apart by ``kind``. A node's schema path (the types from
+the outermost to its own) groups it into a table: :func:`table_catalog` lists the tables with their columns, and
+:func:`write_tables` lays them out one folder each, linked to the table above by path.
 
 The parse runs in Python over Arrow batches, since documents are recursive JSON text of unknown depth that may be
 irregular; it neither shuffles nor collects, and holds one document at a time.
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wikiloom.operators.snapshots import latest_rows
+from wikiloom.operators.snapshots import LOCATOR, current_rows
 
 #: Rows of one flat stream. kind: node, attr or mark. name: attribute name or position of the mark.
 FLAT = "kind string, path string, parent_path string, pos int, type string, schema_path string, name string, value string"
 _FIELDS = [x.split() for x in FLAT.split(", ")]
+KINDS = frozenset({"node", "attr", "mark"})
 _ROWS_PER_BATCH = 20_000
 
 
@@ -35,25 +37,26 @@ def fold_keys(pairs: list) -> dict:
 
 
 def parse_document(text: str | None) -> dict | None:
-    """The JSON object in a text, also where it is wrapped in JSON strings; None for anything else.
+    """The JSON object in a text, or in the JSON string that the text is; None for anything else."""
+    found = parse_json(text)
+    if isinstance(found, str):
+        found = parse_json(found)
+    return found if isinstance(found, dict) else None
+
+
+def parse_json(text: str | None):
+    """JSON of any depth with folded keys; None for null and for broken text.
 
     Text that nests deeper than Python's parser goes is read by :func:`parse_deep`.
     """
-    for _ in range(8):
-        if text is None:
-            return None
-        try:
-            found = json.loads(text.strip().lstrip("\ufeff"), object_pairs_hook=fold_keys, parse_constant=_refuse)
-        except RecursionError:
-            found = parse_deep(text)
-        except ValueError:
-            return None
-        if isinstance(found, dict):
-            return found
-        if not isinstance(found, str):
-            return None
-        text = found
-    return None
+    if text is None:
+        return None
+    try:
+        return json.loads(text.strip().lstrip("\ufeff"), object_pairs_hook=fold_keys, parse_constant=_refuse)
+    except RecursionError:
+        return parse_deep(text)
+    except ValueError:
+        return None
 
 
 def _refuse(name: str):
@@ -129,19 +132,19 @@ def _name(value) -> str:
     return value if isinstance(value, str) else "" if value is None else json.dumps(value)
 
 
-def flatten(document: dict) -> Iterator[tuple]:
-    """Rows of FLAT for each node below the document, its attributes and its marks, in document order."""
-    stack = [(document, "", _name(document.get("type")))]
+def flatten(document: dict, kinds: frozenset[str] = KINDS) -> Iterator[tuple]:
+    """Rows of FLAT for each node below the document, its attributes and its marks, in document order; only of ``kinds``."""
+    stack = [(document, "", _name(document.get("type")).replace("/", "_"))]
     while stack:
         node, path, schema = stack.pop()
-        if path:
+        if path and "node" in kinds:
             up, _, pos = path.rpartition(".")
             yield "node", path, up, int(pos), schema.rpartition("/")[2], schema, None, node["text"] if isinstance(node.get("text"), str) else None
-        attrs = node.get("attrs")
+        attrs = node.get("attrs") if "attr" in kinds else None
         if isinstance(attrs, dict):
             for k, v in attrs.items():
                 yield "attr", path, path, None, None, schema, k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-        marks = node.get("marks")
+        marks = node.get("marks") if "mark" in kinds else None
         if path and isinstance(marks, list):
             for i, m in enumerate(marks):
                 if isinstance(m, dict):
@@ -155,8 +158,9 @@ def flatten(document: dict) -> Iterator[tuple]:
                     stack.append((content[i], f"{dot}{i}", f"{schema}/{_name(content[i].get('type')).replace('/', '_')}"))
 
 
-def flat_rows(df: DataFrame, key: str, document: Column) -> DataFrame:
-    """(key, *FLAT) of every document. NULL, empty and broken documents give no rows; keys may repeat or be NULL."""
+def flat_rows(df: DataFrame, key: str, document: Column, kinds: frozenset[str] = KINDS) -> DataFrame:
+    """(key, *FLAT) of every document, only rows of ``kinds``. NULL, empty and broken documents give no rows; keys may
+    repeat or be NULL."""
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias(key), document.alias("_document")).where("_document IS NOT NULL")
 
@@ -173,7 +177,7 @@ def flat_rows(df: DataFrame, key: str, document: Column) -> DataFrame:
             schema = batch.schema.field(0).type
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = parse_document(text.as_py())
-                for row in flatten(found) if found is not None else ():
+                for row in flatten(found, kinds) if found is not None else ():
                     keys.append(k)
                     rows.append(row)
                     if len(rows) >= _ROWS_PER_BATCH:
@@ -200,19 +204,43 @@ def mark_table(flat: DataFrame, key: str) -> DataFrame:
     return flat.where("kind = 'mark'").select(key, F.col("parent_path").alias("node_path"), "pos", "type", F.col("value").alias("attrs"))
 
 
+def table_name(schema_path: Column) -> Column:
+    """Name of the table of a schema path: its last type and a digest of the whole, safe as a folder name."""
+    last = F.regexp_replace(F.element_at(F.split(schema_path, "/"), -1), "[^A-Za-z0-9]", "_")
+    return F.concat(last, F.lit("_"), F.substring(F.sha2(schema_path, 256), 1, 16))
+
+
+def table_catalog(flat: DataFrame) -> DataFrame:
+    """(schema_path, parent_schema, nodes, attributes): the tables that nodes of one schema path make up.
+
+    ``attributes`` are the names of the columns that a table has besides path, parent and text, in order; parent_schema
+    is the table that ``parent_path`` points into, NULL for children of the document. One row per schema path, combined
+    map-side, however many nodes a table has.
+    """
+    own = flat.where("kind IN ('node', 'attr') AND path <> ''")
+    counts = own.groupBy("schema_path").agg(F.count_if(F.col("kind") == "node").alias("nodes"), F.array_sort(F.collect_set("name")).alias("attributes"))
+    above = F.regexp_extract("schema_path", "^(.*)/[^/]*$", 1)
+    return counts.select("schema_path", F.when(above.contains("/"), above).alias("parent_schema"), "nodes", "attributes")
+
+
 def write_tables(flat: DataFrame, key: str, folder: str) -> None:
-    """Write nodes, attributes and marks; nodes are laid out by type so that one kind of node is one folder."""
-    node_table(flat, key).write.mode("overwrite").partitionBy("type").parquet(f"{folder}/nodes")
-    attribute_table(flat, key).write.mode("overwrite").parquet(f"{folder}/attributes")
-    mark_table(flat, key).write.mode("overwrite").parquet(f"{folder}/marks")
+    """Write one folder per schema path for nodes and for their attributes, and one table of marks.
 
+    The folder is named by :func:`table_name`; ``tables`` is the catalog that maps schema paths to them.
+    """
+    nodes = flat.where("kind = 'node'").select(key, "path", F.nullif("parent_path", F.lit("")).alias("parent_path"), "pos", "type", F.col("value").alias("text"), table_name(F.col("schema_path")).alias("table"))
+    nodes.write.mode("overwrite").partitionBy("table").parquet(f"{folder}/nodes")
+    attributes = flat.where("kind = 'attr'").select(key, F.col("path").alias("node_path"), "name", "value", table_name(F.col("schema_path")).alias("table"))
+    attributes.write.mode("overwrite").partitionBy("table").parquet(f"{folder}/attributes")
+    mark_table(flat, key).write.mode("overwrite").parquet(f"{folder}/marks")
+    table_catalog(flat).withColumn("table", table_name(F.col("schema_path"))).write.mode("overwrite").parquet(f"{folder}/tables")
 
-def current_documents(api_pages: DataFrame) -> DataFrame:
-    """(page_id, adf) of the row of each page with the highest version number."""
-    rows = api_pages.select("page_id", F.col("version.number").alias("number"), "adf").where("page_id IS NOT NULL")
-    return latest_rows(rows, ["page_id"], [F.col("number")], ["adf"])
 
+def page_trees(api_pages: DataFrame, kinds: frozenset[str] = KINDS) -> DataFrame:
+    """Flat rows of the current document of each page: the row with the highest version number.
 
-def page_trees(api_pages: DataFrame) -> DataFrame:
-    """Flat rows of the current document of each page."""
-    return flat_rows(current_documents(api_pages), "page_id", F.col("adf"))
+    Rows are chosen by their place alone, so bodies are neither aggregated nor sorted; they meet the chosen places in
+    one join, since their flat rows would be several times as large.
+    """
+    rows = api_pages.select("page_id", F.col("version.number").alias("number"), "adf", *LOCATOR).where("page_id IS NOT NULL")
+    return flat_rows(current_rows(rows, ["page_id"], [F.col("number")]), "page_id", F.col("adf"), kinds)

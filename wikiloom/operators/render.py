@@ -2,20 +2,26 @@
 
 A recursive tree of unknown depth cannot be a column type, so this is the one step that leaves the JVM: a pandas UDF
 over Arrow batches, pure per document. ``BLOCKS`` (node type -> Markdown) and ``CELLS`` (node type -> HTML inside a
-table cell) may be extended by the caller before the UDF is made.
+table cell) may be extended by the caller before the UDF is made: what it then holds goes to the workers with it.
+
+Documents nest as deeply as they like: text is parsed with a stack of its own where it must be, and the limit on nested
+Python calls, which take no C stack, follows the depth of the document.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from wikiloom.operators.nested import parse_json
+
 #: The order in which marks are applied, innermost first; all others come last and change nothing.
 MARK_ORDER = {"code": 0, "subsup": 1, "link": 2, "strong": 3, "em": 4, "strike": 5, "underline": 6, "textColor": 7}
 _LAST_MARK = 99
@@ -399,6 +405,8 @@ for _type, _own in {"bulletList": _cell_list("ul"), "orderedList": _cell_list("o
     cell(_type)(_own)
 
 
+_BLOCKS, _CELLS = dict(BLOCKS), dict(CELLS)
+
 _HEADING = re.compile(r"#{1,6} ")
 
 
@@ -438,16 +446,16 @@ def tidy(markdown: str) -> str:
 
 
 _KINDS = {"type": str, "attrs": dict, "content": list, "text": str, "marks": list}
+#: Python calls per level of nesting, at most, and those that surround them.
+_CALLS, _AROUND = 8, 2_000
 
 
-def _checked_pairs(pairs: list) -> dict:
-    return {k.lower() if k.lower() in _KINDS else k: v for k, v in pairs}
-
-
-def _check(node) -> None:
-    todo = [node]
+def _check(node) -> int:
+    """Complete a tree in place and give its depth; :class:`BadDocument` where a field has the wrong type."""
+    todo, deepest = [(node, 1)], 0
     while todo:
-        at = todo.pop()
+        at, depth = todo.pop()
+        deepest = max(deepest, depth)
         if not isinstance(at, dict):
             raise BadDocument("a node is not an object")
         for k, kind in _KINDS.items():
@@ -460,24 +468,35 @@ def _check(node) -> None:
         for m in at["marks"]:
             if not isinstance(m, dict) or not isinstance(m.get("type") or "", str):
                 raise BadDocument("a mark is not an object")
-        todo += at["content"]
+        todo += [(c, depth + 1) for c in at["content"]]
+    return deepest
 
 
-def render_document(adf: str | None) -> str:
-    """Markdown of a document; :class:`BadDocument` where the text is none."""
+@contextmanager
+def room_for(depth: int) -> Iterator[None]:
+    """Let calls nest as deeply as a document does."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, depth * _CALLS + _AROUND))
     try:
-        document = json.loads(adf or "", object_pairs_hook=_checked_pairs)
-        document = {} if document is None else document
-        if not isinstance(document, dict):
-            raise BadDocument("not an object")
-        _check({"content": document.get("content")} if document.get("content") is not None else (document := {"content": []}))
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def render_document(adf: str | None) -> str:
+    """Markdown of a document; :class:`BadDocument` where the text is none. JSON null is an empty document."""
+    document = parse_json(adf)
+    if document is None:
+        if (adf or "").strip().lstrip("\ufeff") != "null":
+            raise BadDocument("not JSON")
+        document = {}
+    if not isinstance(document, dict):
+        raise BadDocument("not an object")
+    root = {"content": document.get("content")}
+    with room_for(_check(root)):
         out = Out()
-        for child in document.get("content") or ():
-            walk(child or {}, Place(), out)
-    except RecursionError as e:
-        raise BadDocument("nested too deeply") from e
-    except json.JSONDecodeError as e:
-        raise BadDocument(str(e)) from e
+        for child in root["content"]:
+            walk(child, Place(), out)
     return tidy(str(out))
 
 
@@ -495,12 +514,33 @@ def has_title(markdown: str, title: str) -> bool:
     return first.startswith("# ") and first[2:].strip().lower() == title.strip().lower()
 
 
+@contextmanager
+def registered(blocks: dict[str, Renderer], cells: dict) -> Iterator[None]:
+    """Use further renderers for a while, as the caller of the UDF had them."""
+    saved = dict(BLOCKS), dict(CELLS)
+    BLOCKS.update(blocks)
+    CELLS.update(cells)
+    try:
+        yield
+    finally:
+        for own, old in zip((BLOCKS, CELLS), saved, strict=True):
+            own.clear()
+            own.update(old)
+
+
+def extensions() -> tuple[dict, dict]:
+    """Renderers that were registered besides, or instead of, those of this module."""
+    return tuple({k: v for k, v in now.items() if built_in.get(k) is not v} for now, built_in in ((BLOCKS, _BLOCKS), (CELLS, _CELLS)))
+
+
 def rendered(adf: Column) -> Column:
-    """Column of Markdown; NULL where the document is broken, empty or NULL."""
+    """Column of Markdown; NULL where the document is broken, empty or NULL. Registered extensions travel along."""
+    blocks, cells = extensions()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([try_render(x) for x in s], dtype=object)
+        with registered(blocks, cells):
+            return pd.Series([try_render(x) for x in s], dtype=object)
 
     return run(adf)
 

@@ -29,6 +29,27 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], val
     return df.groupBy(*keys).agg(best.alias("best")).select(*keys, *[F.col(f"best.v.{v}").alias(v) for v in values])
 
 
+#: Where a row stands: a digest of its file, and its number in it. Unique within a table.
+LOCATOR = ("_file", "_row")
+
+
+def chosen_places(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """(*LOCATOR) of the row of each key that is greatest in ``order``, ties settled by place; no other column is read."""
+    best = F.max(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *LOCATOR))
+    return rows.groupBy(*keys).agg(best.alias("best")).select(*[F.col(f"best.{c}").alias(c) for c in LOCATOR])
+
+
+def current_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], found: DataFrame | None = None) -> DataFrame:
+    """``found``, or else ``rows``, without all rows that are not the current one of their key.
+
+    ``found`` holds what was extracted from ``rows`` in place, with its LOCATOR: extracting first keeps bodies out of
+    every exchange. Only places are aggregated; the side of places is a row of two numbers per key, which Spark
+    broadcasts if it knows it to be small and else shuffles.
+    """
+    everything = rows if found is None else found
+    return everything.join(chosen_places(rows, keys, order), list(LOCATOR), "left_semi").drop(*LOCATOR)
+
+
 def snapshot_order(df: DataFrame, snapshot: str) -> DataFrame:
     """(snapshot, ord): the snapshots that exist, numbered from 1. One row per snapshot, thus small."""
     ids = df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct()

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wikiloom.functions import urls
 from wikiloom.functions.files import attachment_filename, managed_path
 from wikiloom.functions.text import canonical_signature, strip_white
 from wikiloom.operators import attachments as att, comments as com, incremental, links, records, render, snapshots, traversal
 from wikiloom.plans.general import _strip
-from wikiloom.sources.tables import last_value, read_table
+from wikiloom.session import materialize
+from wikiloom.sources.tables import last_value, read_located, read_table
 
 HOST, ORIGIN, MAX_DEPTH, MAX_MB = "wiki.example.org", "https://wiki.example.org", 3, 1
 _CARRIED = ("title", "local_path", "version", "outgoing_links", "incoming_links", "attachments", "attachment_signature", "depth")
@@ -19,11 +20,19 @@ _HEAD = (
 )
 
 
-def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Current row of each page."""
-    rows = read_table(spark, folder, "api_pages").where("page_id IS NOT NULL")
-    columns = [c for c in rows.columns if c != "page_id"]
-    return snapshots.latest_rows(rows, ["page_id"], [F.col("version.number")], columns)
+def _extracted(spark: SparkSession, folder: str, **columns: Column) -> DataFrame:
+    """page_id and what ``columns`` make of the current row of each page.
+
+    They are worked out where the rows are read; only their results and the rows' places are shuffled, no body.
+    """
+    rows = read_located(spark, folder, "api_pages").where("page_id IS NOT NULL")
+    made = rows.select("page_id", *snapshots.LOCATOR, *[c.alias(n) for n, c in columns.items()])
+    return snapshots.current_rows(rows, ["page_id"], [F.col("version.number")], made)
+
+
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, targets) of the current row of each page."""
+    return _extracted(spark, folder, targets=links.targets_in("adf"))
 
 
 def _narrow(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -39,7 +48,7 @@ def _last(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    return links.edges(_narrow(spark, folder, "adf"), "page_id", "adf", HOST)
+    return links.edges(_targets(spark, folder), "page_id", "targets", HOST)
 
 
 def _seeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +66,7 @@ def link_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def link_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Links of each page by class; seen from another host, absolute links are external."""
-    seen = links.external_counts(_narrow(spark, folder, "adf"), "page_id", "adf", "other.example.org:8443")
+    seen = links.external_counts(_targets(spark, folder), "page_id", "targets", "other.example.org:8443")
     return seen.select("page_id", "links", "external")
 
 
@@ -78,18 +87,23 @@ def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Edges of the last snapshot's records, and its pages with the status that the API has for them."""
     last = _last(spark, folder, "outgoing_links").select(F.col("id").try_cast("bigint").alias("page_id"), "outgoing_links")
     edge_rows = last.select(F.col("page_id").alias("src"), F.explode(links.parse_ids("outgoing_links")).alias("dst"))
-    return edge_rows, last.select("page_id").join(_narrow(spark, folder, "status"), "page_id", "left")
+    return materialize(edge_rows), materialize(last.select("page_id").join(_narrow(spark, folder, "status"), "page_id", "left"))
 
 
 def _reached(spark: SparkSession, folder: str) -> DataFrame:
+    return _walk(spark, folder, *_graph(spark, folder))
+
+
+def _walk(spark: SparkSession, folder: str, edge_rows: DataFrame, pages: DataFrame) -> DataFrame:
     seeds = _seeds(spark, folder).select(urls.seed_page_id("seed_id").alias("page_id"))
-    edge_rows, pages = _graph(spark, folder)
     return traversal.traverse(seeds, edge_rows, MAX_DEPTH, traversal.page_handler(pages))
 
 
 def crawl_stats(spark: SparkSession, folder: str) -> DataFrame:
-    external = links.external_counts(_narrow(spark, folder, "adf"), "page_id", "adf", HOST)
-    return traversal.crawl_stats(_reached(spark, folder), _graph(spark, folder)[0], external)
+    graph = _graph(spark, folder)
+    reached = materialize(_walk(spark, folder, *graph))
+    external = links.external_counts(_targets(spark, folder), "page_id", "targets", HOST)
+    return traversal.crawl_stats(reached, graph[0], external)
 
 
 def depth_distribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,8 +197,8 @@ def comments_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def rendered_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Markdown of every live page: rendered, titled, with absolute links."""
-    live = _pages(spark, folder).where(F.coalesce(F.lower(strip_white("status")), F.lit("")) != "trashed")
-    text = live.select("page_id", "title", render.rendered(F.col("adf")).alias("markdown")).where("markdown IS NOT NULL")
+    alive = F.coalesce(F.lower(strip_white("status")), F.lit("")) != "trashed"
+    text = _extracted(spark, folder, title=F.col("title"), markdown=render.rendered(F.col("adf")), alive=alive).where("alive AND markdown IS NOT NULL")
     return text.select("page_id", links.absolutize(render.with_title(F.col("markdown"), F.col("title")), ORIGIN).alias("markdown"))
 
 
@@ -206,7 +220,7 @@ def rendered_user_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 def _link_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One text per page: its links as Markdown, labelled with their own URL."""
-    targets = links.link_targets(_narrow(spark, folder, "adf"), "page_id", "adf")
+    targets = links.link_targets(_targets(spark, folder), "page_id", "targets")
     line = F.concat(F.lit("["), F.col("target"), F.lit("]("), F.col("target"), F.lit(")"))
     lists = targets.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
     return lists.select("page_id", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("markdown"))
@@ -257,13 +271,13 @@ def children_by_parent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def macro_flags(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _narrow(spark, folder, "adf")
-    return pages.select("page_id", F.coalesce(links.has_children_macro("adf"), F.lit(False)).alias("children"), F.coalesce(F.col("adf").contains('"contentbylabel"'), F.lit(False)).alias("by_label"))
+    by_label = F.coalesce(F.col("adf").contains('"contentbylabel"'), F.lit(False))
+    return _extracted(spark, folder, children=F.coalesce(links.has_children_macro("adf"), F.lit(False)), by_label=by_label)
 
 
 def label_queries(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _narrow(spark, folder, "adf").where(F.col("adf").contains('"contentbylabel"'))
-    return pages.select("page_id", F.explode(links.label_queries_column("adf")).alias("query")).groupBy("query").agg(F.count("*").alias("uses"))
+    asked = _extracted(spark, folder, queries=links.label_queries_column("adf"))
+    return asked.select("page_id", F.explode("queries").alias("query")).groupBy("query").agg(F.count("*").alias("uses"))
 
 
 def checkpoint_state(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wikiloom", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC, AQE and Arrow on; everything else is left to the cluster."""
+    """A session with UTC, AQE and Arrow on, that deletes checkpoints once nothing uses them; everything else is left to
+    the cluster."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -20,6 +21,7 @@ def build_session(app: str = "wikiloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     return ship_package(builder.config(map=settings).getOrCreate())
