@@ -8,6 +8,7 @@ from wikiloom.functions import urls
 from wikiloom.functions.files import attachment_filename, managed_path
 from wikiloom.functions.text import canonical_signature, strip_white
 from wikiloom.operators import attachments as att, comments as com, incremental, links, records, render, snapshots, traversal
+from wikiloom.plans import render_sql
 from wikiloom.plans.general import _strip
 from wikiloom.session import materialize
 from wikiloom.sources.tables import last_value, read_located, read_table
@@ -401,6 +402,24 @@ SELECT pos, CASE WHEN l.id IS NULL THEN '- Page ' || seed_id || ' (not present i
 SELECT c.page_id, c.comment_id, row_number() OVER (PARTITION BY c.page_id ORDER BY t.way IS NULL, t.way, c.created_at, c.comment_id) AS position, t.depth FROM c LEFT JOIN tree t USING (comment_id)""",
     "rendered_user_cards": f"""WITH {_USERS} SELECT account_id, '# ' || name || chr(10) || chr(10) || '- `' || account_id || '`' || chr(10) || '- _**' || name || '**_' || chr(10) || chr(10)
   || '| id | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || account_id || ' | ' || name || ' |' AS markdown FROM users WHERE name IS NOT NULL""",
+    "rendered_pages": f"""WITH RECURSIVE {_PAGES}, docs AS (SELECT CAST(page_id AS VARCHAR) AS k, adf FROM pages WHERE lower({_strip("coalesce(status, '')")}) <> 'trashed'),
+{render_sql.markdown_ctes('docs')}
+SELECT page_id, regexp_replace({render_sql.with_title('markdown', 'title')}, '\\]\\((/[^)\\s]+)\\)', ']({ORIGIN}\\1)', 'g') AS markdown FROM rendered JOIN pages ON CAST(page_id AS VARCHAR) = k""",
+    "comments_markdown": f"""WITH RECURSIVE {_COMMENTS}, {_USERS}, docs AS (SELECT comment_id AS k, {_strip('body')} AS adf FROM c),
+{render_sql.markdown_ctes('docs')},
+placed AS (SELECT c.*, row_number() OVER (PARTITION BY c.page_id ORDER BY t.way IS NULL, t.way, c.created_at, c.comment_id) AS position FROM c LEFT JOIN tree t USING (comment_id)),
+blocks AS (SELECT page_id, position, concat(coalesce(u.name, nullif({_strip('author_id')}, ''), 'Unknown Author'), chr(10), coalesce(strftime(created_at AT TIME ZONE 'UTC', '%-d %B %Y'), 'unknown'), chr(10),
+  CASE WHEN coalesce({_strip('body')}, '') = '' THEN '(empty comment)' ELSE coalesce(nullif(r.markdown, ''), {_strip('body')}) END, chr(10), CASE WHEN updated_at > created_at THEN chr(10) || '(edited)' || chr(10) ELSE '' END) AS block
+  FROM placed LEFT JOIN rendered r ON r.k = comment_id LEFT JOIN users u ON u.account_id = {_strip('author_id')})
+SELECT page_id, {_strip("'## Comments' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY position)")} AS markdown FROM blocks GROUP BY page_id""",
+    "attachment_links": f"""WITH {_LAST}, {_ATT}, m AS (SELECT id, storage_format_sample AS t FROM last WHERE contains(storage_format_sample, '](attachment://')),
+good AS (SELECT CAST(page_id AS VARCHAR) AS id, filename AS name, 1 AS rank, 'attachments/' || {_NAMED} AS path, file_id FROM att WHERE attachment_id <> ''),
+names AS (SELECT id, {_strip('name')} AS name, rank, path FROM good UNION ALL SELECT id, {_strip('file_id')}, 2, path FROM good WHERE file_id IS NOT NULL),
+best AS (SELECT id, name, arg_min(path, {{'r': rank, 'p': path}}) AS path FROM names WHERE name <> '' GROUP BY ALL),
+x AS (SELECT id, regexp_split_to_array(t, '\\]\\(attachment://[^)]+\\)') AS s, regexp_extract_all(t, '\\]\\(attachment://([^)]+)\\)', 1) AS u FROM m),
+r AS (SELECT id, s, u, unnest(range(1, len(s) + 1)) AS i FROM x)
+SELECT r.id, string_agg(s[i] || CASE WHEN i > len(u) THEN '' ELSE '](' || coalesce(b.path, 'attachment://' || u[i]) || ')' END, '' ORDER BY i) AS markdown
+FROM r LEFT JOIN best b ON b.id = r.id AND i <= len(u) AND b.name = {_strip('u[i]')} GROUP BY 1""",
     "absolutize_links": f"""WITH {_TARGETS} SELECT page_id, string_agg('[' || target || '](' || CASE WHEN target LIKE '/%' THEN '{ORIGIN}' ELSE '' END || target || ')', chr(10) ORDER BY pos) AS markdown FROM found GROUP BY 1""",
     "label_enrich": f"""WITH {_TARGETS}, {_LAST}, u AS (SELECT page_id, pos, CASE WHEN target LIKE '/%' THEN '{ORIGIN}' ELSE '' END || target AS url FROM found),
 t AS (SELECT CAST(id AS BIGINT) AS id, {_strip('title')} AS title FROM last WHERE {_strip('title')} <> '')
