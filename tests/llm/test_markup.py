@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wikiloom.llm.markup import parse_markup, plain, structures
+from wikiloom.llm.markup import Boxes, parse_markup, plain, structures, walk_markup
 
 H, L, C, M = "heading", "list_item", "code", "formula"
 CASES = [
@@ -54,4 +54,43 @@ def test_long_text_and_repeats(spark):
     text = "- item\n" * 50_000
     df = spark.createDataFrame([(1, "h", text), (1, "h", text), (None, "h", "- x")], "page_id int, host string, text string")
     got = structures(df, "page_id", "host", "text").groupBy("page_id").agg(F.count("*").alias("n")).collect()
-    assert {r.page_id: r.n for r in got} == {1: 100_000, None: 1}
+    assert {r.page_id: r.n for r in got} == {1: 1, None: 1}
+
+
+def test_styling_of_any_depth_goes():
+    deep = "".join(f"\\{c}{{" for c in ("textbf", "emph", "underline", "texttt", "textsf") * 400) + "deep" + "}" * 2000
+    assert plain(deep) == "deep" and plain("\\textbf{a {b} \\emph{c}} \\emph{d") == "a {b} c \\emph{d"
+    assert plain("\\href{http://x}{\\emph{y}}\\label{z} \\{k\\}") == "y {k}"
+
+
+PAGE = '<div class="top-{n} menu"><ul><li><a href="/a">Home {n}</a></li><li><a href="/b">Spaces</a></li></ul></div><div class="content-{n}"><h2>Own {n}</h2><p>{text}</p><ul><li>kept {n}</li></ul></div><div class="footer"><p>All rights reserved</p><ul><li>imprint</li></ul></div>'
+
+
+def paged(spark, pages):
+    return spark.createDataFrame([(*p, 1) for p in pages], "page_id int, host string, text string, kind int")
+
+
+def test_the_vote_on_paths_decides_what_is_content(spark):
+    usual = [(n, "a", PAGE.format(n=n, text="words of the page itself " * 9)) for n in range(5)]
+    # A page that would choose for itself its long list of links' sibling; the host's path is what it shares with the others.
+    odd = (9, "a", PAGE.format(n=9, text="short") + '<div class="archive">' + "<p>old remark without any link at all</p>" * 20 + "<ul><li>odd</li></ul></div>")
+    other = (10, "b", odd[2])
+    df = paged(spark, [*usual, odd, other, (11, "a", "- plain\n")])
+    voted = {(r.page_id, r.content) for r in structures(df, "page_id", "host", "text").collect()}
+    free = {(r.page_id, r.content) for r in structures(df, "page_id", "host", "text", vote_paths=False).collect()}
+    assert {(n, f"Own {n}") for n in (0, 1, 2, 3, 4, 9)} | {(9, "kept 9"), (10, "odd"), (11, "plain")} <= voted
+    assert not {"Spaces", "imprint"} & {c for _, c in voted} and (9, "odd") not in voted
+    assert {(0, "Spaces"), (0, "imprint"), (9, "odd")} <= free and voted < free
+
+
+def test_scores_and_paths():
+    boxes = Boxes()
+    assert list(walk_markup('<div class="B2 a"><p>12345</p><nav><a href="x">123</a></nav></div>', False, boxes)) == []
+    assert boxes.scores() == {"": 2, "div.a.b#": 2, "div.a.b#>nav": -3} and boxes.best() == ""
+
+
+def test_only_the_latest_row_counts(spark):
+    rows = [(1, "h", "- old", 1), (1, "h", "- new", 2), (2, "h", "- gone", 1), (2, "h", None, 2), (3, "h", "- a", None), (3, "h", "- b", 5), (4, "h", "- only", None)]
+    df = spark.createDataFrame(rows, "page_id int, host string, text string, at int")
+    got = {(r.page_id, r.content) for r in structures(df, "page_id", "host", "text", "at").collect()}
+    assert got == {(1, "new"), (3, "b"), (4, "only")}

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LIMIT, OVERLAP = 3000, 200
+#: Characters of text after which the pieces cut so far are handed on.
+_BATCH_CHARS = 4_000_000
 #: Boundaries from the strongest to the weakest; a cut comes at the end of the match.
 BOUNDARIES = [re.compile(p) for p in (r"\n(?=#{1,6} |h[1-6]\. |<[hH][1-6]\b|\\(?:sub)*section)", r"\n[ \t]*\n+", r"\n", r"[.!?。！？][\"')\]]*(?:\s+|(?<=[。！？]))", r"[,;:]\s+", r"\s+")]
 
@@ -80,13 +82,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     return out
 
 
-def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, texts: bool = True) -> DataFrame:
     """(key, piece, start, overlap, forced, text) of every text, in order.
 
     ``start`` is where the piece's own part begins, counted in code points; its first ``overlap`` characters repeat the
     end of the piece before, so that the own parts put together give the text. ``forced`` tells that the cut before the
     piece lies within a stretch without white space that is over the limit. NULL texts give no rows, an empty text one
-    empty piece; keys may repeat or be NULL; further columns are ignored. Rows are worked on where they are.
+    empty piece; keys may repeat, be NULL or be structs; further columns are ignored. Rows are worked on where they are.
+    Without ``texts`` the texts of the pieces are left out.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
@@ -94,20 +97,32 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                whole = value.as_py()
-                cuts = split_text(whole, limit, overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k] * len(cuts), batch.schema.field(0).type),
-                        pa.array(range(len(cuts)), pa.int32()),
-                        pa.array([c[1] for c in cuts], pa.int64()),
-                        pa.array([c[1] - c[0] for c in cuts], pa.int32()),
-                        pa.array([c[3] for c in cuts], pa.bool_()),
-                        pa.array([whole[c[0] : c[2]] for c in cuts], pa.string()),
-                    ],
-                    names=[key, "piece", "start", "overlap", "forced", "text"],
-                )
+            values, at, cuts, own = batch.column(1), [], [], []
+
+            def out() -> pa.RecordBatch:
+                columns = [
+                    batch.column(0).take(pa.array(at, pa.int64())),
+                    pa.array([c[0] for c in cuts], pa.int32()),
+                    pa.array([c[2] for c in cuts], pa.int64()),
+                    pa.array([c[2] - c[1] for c in cuts], pa.int32()),
+                    pa.array([c[4] for c in cuts], pa.bool_()),
+                ]
+                names = [key, "piece", "start", "overlap", "forced"]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.string())], names=[*names, "text"]) if texts else pa.RecordBatch.from_arrays(columns, names=names)
+
+            size = 0
+            for n in range(batch.num_rows):
+                whole = values[n].as_py()
+                new = [(i, *c) for i, c in enumerate(split_text(whole, limit, overlap))]
+                at += [n] * len(new)
+                cuts += new
+                own += [whole[c[1] : c[3]] for c in new] if texts else ()
+                size += len(whole)
+                if size > _BATCH_CHARS:
+                    yield out()
+                    at, cuts, own, size = [], [], [], 0
+            if at:
+                yield out()
 
     rows = df.select(F.col(key), F.col(text).alias("_text")).where("_text IS NOT NULL")
-    return rows.mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, overlap int, forced boolean, text string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, overlap int, forced boolean" + (", text string" if texts else ""))

@@ -1,10 +1,19 @@
 """Mark-up in text documents to clean text that keeps headings, list items, code blocks and formulas apart.
 
-Documents mix HTML, Markdown, wiki mark-up and LaTeX, and some line forms mean different things by dialect (``# x`` is a
-heading in Markdown and a numbered item in wiki mark-up). Each page's containers are scored: every line form that one
-dialect alone has counts for it. Where a page has evidence of its own, that decides; where it has none, its host does:
-pages vote on generalised container paths (a run of ``# x`` lines, or one on its own) in Spark, and pages without
-evidence are extracted by what wins for their path. Votes are combined map-side to two rows per host and space.
+Documents mix HTML, Markdown, wiki mark-up and LaTeX. Consensus host paths say what of a page is content and how it is
+read:
+
+- Every container of a page (the page itself, and the sectioning elements within it) is scored by the text it holds:
+  linked text and text of navigation, footers and the like count against it. The container with the greatest score is
+  the page's own choice, and its generalised tag-class path is the page's ballot; Spark counts the ballots per host.
+- Some line forms mean different things by dialect (``# x`` is a heading in Markdown and a numbered item in wiki
+  mark-up). Pages with line forms that one dialect alone has cast a ballot on how their host's shared forms are read.
+- Extraction follows the winners: of a page with containers only what stands in the winning path (its own choice, where
+  it has no such container), and shared line forms of pages without evidence in the winning reading.
+
+A page is parsed once, where it is read: its structures come out with the path, and if need be the reading, that they
+stand under, so what a second extraction would find is selected among them and no body is shuffled. A page without
+sectioning elements has one container, the page: nothing of it can lose, and it takes no part in the vote on paths.
 """
 
 from __future__ import annotations
@@ -26,6 +35,13 @@ MARKDOWN_ONLY = r"(?m)^ {0,3}(?:```|~~~)|\]\([^)\s]+\)|^(?:=====+|-----+) *$|^#{
 #: Generalised container paths of the line form that the dialects share: a run of ``# x`` lines, and one on its own.
 RUN_PATH, LONE_PATH = r"(?m)^# .*\n# ", r"(?:\A|\n[ \t]*\n)# [^\n]*(?:\n[ \t]*(?:\n|\z)|\z)"
 
+#: Elements that divide a page into containers.
+SECTIONS = frozenset({"div", "section", "article", "header", "footer", "nav", "aside", "main", "form", "ac:layout-section", "ac:layout-cell"})
+#: Steps of a path that are the furniture of a page: their text counts against what holds it.
+FURNITURE = re.compile(r"^(?:nav|footer|aside|form)\b|[.-](?:nav|navigation|navbar|menu|sidebar|footer|breadcrumbs?|banner|cookies?|advert|ads?|share|social|related|toc)(?=[.-]|$)")
+#: What a linked character costs a container, against the one that any other adds.
+LINK_COST = 2
+
 _SPACE = re.compile(r"\s+")
 _BLOCK_TAGS = "h[1-6]|p|ul|ol|li|dl|dt|dd|pre|table|thead|tbody|tfoot|tr|td|th|div|section|article|header|footer|nav|aside|main|blockquote|figure|hr|ac:[\\w-]+|ri:[\\w-]+|html|body|details|summary"
 _HTML_START = re.compile(rf"<(?:{_BLOCK_TAGS})(?=[\s>/])", re.IGNORECASE)
@@ -63,9 +79,8 @@ _TICKS = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.DOTALL)
 _MONO = re.compile(r"\{\{(.+?)\}\}")
 _COLOR = re.compile(r"\{color(?::[^}\n]*)?\}|\{anchor:[^}\n]*\}")
 _TAG = re.compile(r"</?(?:a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|s|small|span|strike|strong|sub|sup|tt|u)(?:\s[^<>]*)?/?>|<br\s*/?>", re.IGNORECASE)
-_TEX_STYLE = re.compile(r"\\(?:emph|text(?:bf|it|tt|sf|sc|rm|up|sl|md|normal)?|underline|uline|sout|url|mbox|hbox|footnotesize)\{([^{}]*)\}")
-_TEX_HREF = re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}")
-_TEX_LABEL = re.compile(r"\\label\{[^{}]*\}")
+#: Styling commands (and links) with their opening brace, labels, escaped characters, and other braces.
+_TEX_PART = re.compile(r"(\\(?:emph|text(?:bf|it|tt|sf|sc|rm|up|sl|md|normal)?|underline|uline|sout|url|mbox|hbox|footnotesize)\{|\\href\{[^{}]*\}\{)|(\\label\{[^{}]*\})|\\.|[{}]", re.DOTALL)
 _STYLES = [
     re.compile(p, re.DOTALL)
     for p in (r"\*\*\*(?=\S)(.+?)(?<=\S)\*\*\*", r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)", r"~~(?=\S)(.+?)(?<=\S)~~", r"(?<![\w*])\*(?=[^\s*])(.+?)(?<=[^\s*])\*(?![\w*])", r"(?<![\w_])_(?=[^\s_])(.+?)(?<=[^\s_])_(?![\w_])")
@@ -78,7 +93,68 @@ def squeeze(text: str) -> str:
     return _SPACE.sub(" ", text).strip()
 
 
-def plain(text: str, keep_tags: bool = False) -> str:
+def unwrap_tex(text: str) -> str:
+    """Text without LaTeX styling commands, however deeply they nest, in one pass; those never closed stay as written."""
+    out, at, stack = [], 0, []
+    for m in _TEX_PART.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[2]:
+            continue
+        if m[1]:
+            stack.append(len(out))
+            out.append(m[1])
+        elif m[0] == "{":
+            stack.append(None)
+            out.append("{")
+        elif m[0] == "}":
+            opened = stack.pop() if stack else None
+            if opened is None:
+                out.append("}")
+            else:
+                out[opened] = ""
+        else:
+            out.append(m[0])
+    return "".join(out) + text[at:]
+
+
+class Boxes:
+    """Containers of a page by generalised path: characters of their own, those that are linked, and how many they are."""
+
+    def __init__(self) -> None:
+        self.own: dict[str, list[int]] = {}
+
+    def add(self, path: str, size: int, linked: bool = False) -> None:
+        box = self.own.setdefault(path, [0, 0])
+        box[linked] += size
+
+    def scores(self) -> dict[str, int]:
+        """Score of each path, that of the page (the empty path) included: what it and all within it add or cost."""
+        out = {"": 0}
+        for path, (free, linked) in self.own.items():
+            steps = path.split(">") if path else []
+            worth = -(free + linked) if any(FURNITURE.search(x) for x in steps) else free - LINK_COST * linked
+            for n in range(len(steps) + 1):
+                above = ">".join(steps[:n])
+                out[above] = out.get(above, 0) + worth
+        return out
+
+    def best(self) -> str:
+        """The path of the greatest score; of equal ones the outermost."""
+        return min(self.scores().items(), key=lambda x: (-x[1], x[0].count(">") + bool(x[0]), x[0]))[0]
+
+
+_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+
+
+def step_of(name: str, attributes: str) -> str:
+    """A step of a generalised path: the tag, and its classes in order with runs of digits as ``#``."""
+    m = _CLASS.search(attributes)
+    classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in (m[1] or m[2] or m[3] or "").split()}) if m else []
+    return ".".join([name, *[c.replace(">", "") for c in classes]])
+
+
+def plain(text: str) -> str:
     """Text of one line form without styling, link targets, tags and escapes."""
     if not any(c in text for c in "*_`~[<\\{&$"):
         return squeeze(text)
@@ -95,11 +171,8 @@ def plain(text: str, keep_tags: bool = False) -> str:
     text = _INLINE_MATH.sub(formula, text)
     text = _MONO.sub(r"\1", text)
     text = _COLOR.sub("", text)
-    for _ in range(3):
-        new = _TEX_STYLE.sub(r"\1", _TEX_HREF.sub(r"\1", _TEX_LABEL.sub("", text)))
-        if new == text:
-            break
-        text = new
+    if "\\" in text:
+        text = unwrap_tex(text)
     text = _ESCAPE.sub(lambda m: hold(m[1]), text)
     text = _LINK.sub(r"\1", _IMAGE.sub(r"\1", text))
     text = _WIKI_LINK.sub(r"\1", text)
@@ -149,34 +222,41 @@ def _element_end(text: str, at: int) -> int:
     return len(text)
 
 
-def parse_html(text: str) -> Iterator[tuple[str, str]]:
-    """Structures of an HTML fragment, in the order in which they end."""
-    buffers: list[tuple[str, list[str]]] = [("p", [])]
+def parse_html(text: str, boxes: Boxes) -> Iterator[tuple[str, str, str]]:
+    """(kind, content, path) of the structures of an HTML fragment, in the order in which they end; ``boxes`` learns what
+    its containers hold."""
+    buffers: list[tuple[str, list[str], str]] = [("p", [], "")]
     i, pre, macros = 0, 0, []
+    within: list[tuple[str, str]] = []  # open sectioning elements and the paths that they end
+    links = 0
+
+    def here() -> str:
+        return within[-1][1] if within else ""
 
-    def finish(kind: str, parts: list[str]) -> Iterator[tuple[str, str]]:
+    def finish(kind: str, parts: list[str], path: str) -> Iterator[tuple[str, str, str]]:
         raw = "".join(parts)
         if kind == CODE:
             if found := squeeze(raw):
-                yield CODE, found
+                yield CODE, found, path
             return
-        yield from formulas(raw)
+        yield from ((*x, path) for x in formulas(raw))
         if kind != "p":
             found = squeeze(_INLINE_MATH.sub(lambda m: next(m[g] for g in "edbpi" if m[g] is not None), raw) if "\\" in raw or "$" in raw else raw)
             if found:
-                yield kind, found
+                yield kind, found, path
 
     while True:
         m = _TOKEN.search(text, i)
         chunk = text[i : m.start() if m else len(text)]
         if chunk:
+            boxes.add(here(), len(chunk.strip()), links > 0)
             buffers[-1][1].append(html.unescape(chunk) if "&" in chunk else chunk)
         if m is None:
             break
         i = m.end()
         if m[1] is not None:
             if macros and macros[-1] in ("code", "noformat"):
-                yield from finish(CODE, [m[1]])
+                yield from finish(CODE, [m[1]], here())
             else:
                 buffers[-1][1].append(m[1])
             continue
@@ -197,7 +277,7 @@ def parse_html(text: str) -> Iterator[tuple[str, str]]:
                 if len(buffers) > 1 and buffers[-1][0] == "skip":
                     buffers.pop()
             elif not void:
-                buffers.append(("skip", []))
+                buffers.append(("skip", [], here()))
             continue
         if name == "pre":
             if closing:
@@ -208,7 +288,7 @@ def parse_html(text: str) -> Iterator[tuple[str, str]]:
                     yield from finish(*buffers.pop())
             elif not void:
                 pre += 1
-                buffers.append((CODE, []))
+                buffers.append((CODE, [], here()))
             continue
         if pre:
             if name == "br":
@@ -226,20 +306,34 @@ def parse_html(text: str) -> Iterator[tuple[str, str]]:
                     buffers[-1][1].append(" ")
             elif not void:
                 buffers[-1][1].append(" ")
-                buffers.append((kind, []))
+                buffers.append((kind, [], here()))
         elif _BLOCK.match(name):
             buffers[-1][1].append(" ")
+            if name in SECTIONS and not void:
+                if not closing:
+                    within.append((name, ">".join(filter(None, (here(), step_of(name, m[4]))))))
+                elif any(n == name for n, _ in within):
+                    while within.pop()[0] != name:
+                        pass
             if len(buffers) == 1 and name != "br":
                 yield from finish(*buffers[0])
-                buffers[0] = ("p", [])
+                buffers[0] = ("p", [], here())
+        elif name == "a":
+            links = max(0, links + (-1 if closing else 0 if void else 1))
     while buffers:
         yield from finish(*buffers.pop())
 
 
 def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
-    """(kind, content) of all headings, list items, code blocks and formulas of a text in any mix of the dialects.
+    """(kind, content) of all headings, list items, code blocks and formulas of a text, wherever they stand."""
+    return ((kind, content) for kind, content, _ in walk_markup(text, wiki, Boxes()))
+
+
+def walk_markup(text: str | None, wiki: bool, boxes: Boxes) -> Iterator[tuple[str, str, str]]:
+    """(kind, content, path) of all headings, list items, code blocks and formulas of a text in any mix of the dialects.
 
-    ``wiki`` says how to read the line forms that Markdown and wiki mark-up share.
+    ``wiki`` says how to read the line forms that Markdown and wiki mark-up share; path is that of the innermost
+    container. ``boxes`` learns what each container holds.
     """
     if not text:
         return
@@ -249,31 +343,35 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
     item: list[str] | None = None
     tex_items: list[list[str] | None] = []
     blank = True
+    outside = n
 
-    def flush() -> Iterator[tuple[str, str]]:
+    def top(found: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
+        return ((*x, "") for x in found)
+
+    def flush() -> Iterator[tuple[str, str, str]]:
         nonlocal item
         if item is not None:
             raw, item = "\n".join(item), None
-            yield from formulas(raw)
+            yield from top(formulas(raw))
             raw = _BOX.sub("", raw, count=1) if _BOX.match(raw) else raw
             if found := plain(raw):
-                yield ITEM, found
+                yield ITEM, found, ""
         if para:
             raw = "\n".join(para)
             para.clear()
-            yield from formulas(raw)
+            yield from top(formulas(raw))
 
-    def heading(raw: str) -> Iterator[tuple[str, str]]:
-        yield from formulas(raw)
+    def heading(raw: str) -> Iterator[tuple[str, str, str]]:
+        yield from top(formulas(raw))
         if found := plain(raw):
-            yield HEADING, found
+            yield HEADING, found, ""
 
-    def tex_flush() -> Iterator[tuple[str, str]]:
+    def tex_flush() -> Iterator[tuple[str, str, str]]:
         if tex_items and tex_items[-1] is not None:
             raw, tex_items[-1] = "\n".join(tex_items[-1]), None
-            yield from formulas(raw)
+            yield from top(formulas(raw))
             if found := plain(raw):
-                yield ITEM, found
+                yield ITEM, found, ""
 
     while at < n:
         end = text.find("\n", at)
@@ -291,7 +389,7 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
             close = re.compile(rf"^[ \t]*{m[1][0]}{{{len(m[1])},}}[ \t]*$", re.MULTILINE)
             c = close.search(text, end + 1)
             if found := squeeze(text[end + 1 : c.start() if c else n]):
-                yield CODE, found
+                yield CODE, found, ""
             at = (c.end() if c else n) + 1
             continue
         if first == "{" and (m := _WIKI_CODE.match(line)):
@@ -299,7 +397,7 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
             if c >= 0:
                 yield from flush()
                 if found := squeeze(text[at + m.end() : c]):
-                    yield CODE, found
+                    yield CODE, found, ""
                 at = c + len(m[1]) + 2
                 continue
         if first == "\\":
@@ -307,7 +405,7 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
                 c = text.find("\\end{" + m[1] + "}", at + m.end())
                 yield from flush()
                 if found := squeeze(text[at + m.end() : c if c >= 0 else n]):
-                    yield CODE, found
+                    yield CODE, found, ""
                 at = n if c < 0 else c + len(m[1]) + 6
                 continue
             if m := _TEX_MATH.match(line):
@@ -315,7 +413,7 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
                 if c >= 0:
                     yield from flush()
                     if found := squeeze(text[at + m.end() : c]):
-                        yield FORMULA, found
+                        yield FORMULA, found, ""
                     at = c + len(m[1]) + 6
                     continue
             if m := _TEX_LIST.match(line):
@@ -345,7 +443,7 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
             if bare.startswith("\\[") and (c := text.find("\\]", at)) >= 0:
                 yield from flush()
                 if found := squeeze(text[text.index("\\[", at) + 2 : c]):
-                    yield FORMULA, found
+                    yield FORMULA, found, ""
                 at = c + 2
                 continue
         if tex_items and tex_items[-1] is not None:
@@ -358,14 +456,15 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
             if c >= 0:
                 yield from flush()
                 if found := squeeze(text[o + 2 : c]):
-                    yield FORMULA, found
+                    yield FORMULA, found, ""
                 at = c + 2
                 continue
         if first == "<" and (m := _HTML_START.match(bare)):
             yield from flush()
             at += len(line) - len(line.lstrip())
             stop = _element_end(text, at)
-            yield from parse_html(text[at:stop])
+            yield from parse_html(text[at:stop], boxes)
+            outside -= stop - at
             at = stop
             blank = True
             continue
@@ -380,7 +479,7 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
                 last = nxt if row.strip() else last
                 stop = nxt
             if found := squeeze(text[at:last]):
-                yield CODE, found
+                yield CODE, found, ""
             at = last + 1
             continue
         if m := _WIKI_HEAD.match(line):
@@ -417,7 +516,7 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
             continue
         if first == "|" and _ROW.match(line):
             yield from flush()
-            yield from formulas(line)
+            yield from top(formulas(line))
             at = end + 1
             continue
         if (first == ">" or line.startswith("bq.")) and (m := _QUOTE.match(line)):
@@ -430,49 +529,115 @@ def parse_markup(text: str | None, wiki: bool) -> Iterator[tuple[str, str]]:
         yield from tex_flush()
         tex_items.pop()
     yield from flush()
+    boxes.add("", max(0, outside))
+
+
+def evidence(text: Column) -> dict[str, Column]:
+    """wiki_score and markdown_score, the line forms that only the one or the other dialect has, and form, the
+    generalised path of the line form that both have (JVM-side)."""
+    form = F.when(text.rlike(RUN_PATH), "#+").when(text.rlike(LONE_PATH), "#").otherwise("")
+    return {"wiki_score": F.regexp_count(text, F.lit(WIKI_ONLY)), "markdown_score": F.regexp_count(text, F.lit(MARKDOWN_ONLY)), "form": form}
+
+
+#: Rows of the parse. row: ``found`` (a structure), ``box`` (a container; kind ``best`` for the page's own choice) or
+#: ``form`` (a ballot on a shared line form). open: the page depends on a vote. reading: empty where it is settled.
+PARSED = "row string, open boolean, reading string, form string, path string, kind string, content string"
+_WIKI, _MARKDOWN = "wiki", "markdown"
+
+
+def parse_page(text: str, wiki_score: int, markdown_score: int, form: str) -> Iterator[tuple]:
+    """Rows of PARSED of one page, each once."""
+    undecided = wiki_score == markdown_score and form != ""
+    readings = (_WIKI, _MARKDOWN) if undecided else (_WIKI if wiki_score > markdown_score else _MARKDOWN,)
+    boxes = Boxes()
+    found = {r: dict.fromkeys(walk_markup(text, r == _WIKI, boxes if n == 0 else Boxes())) for n, r in enumerate(readings)}
+    divided = any(path for path in boxes.own)
+    open_ = undecided or divided
+    for reading, rows in found.items():
+        for kind, content, path in rows:
+            yield "found", open_, reading if undecided else "", form if undecided else "", path, kind, content
+    if divided:
+        best = boxes.best()
+        for path in boxes.scores():
+            yield "box", open_, "", "", path, "best" if path == best else "other", ""
+    if form and not undecided:
+        yield "form", open_, readings[0], form, "", "", ""
+
+
+def parsed(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """(*columns, *PARSED) of each text, worked out where the rows are; NULL and empty texts give no rows."""
+    base = df.select(*columns, F.col(text).alias("_text")).where("_text IS NOT NULL AND _text <> ''")
+    base = base.withColumns(evidence(F.col("_text")))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    names = [x.split()[0] for x in PARSED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for n, (body, *scores) in enumerate(zip(batch.column("_text"), *(batch.column(c).to_pylist() for c in ("wiki_score", "markdown_score", "form")), strict=True)):
+                new = list(parse_page(body.as_py(), *scores))
+                at += [n] * len(new)
+                rows += new
+            if rows:
+                keys = batch.select(columns).take(pa.array(at))
+                own = [pa.array(c, pa.bool_() if n == "open" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([*keys.columns, *own], names=[*columns, *names])
 
+    return base.mapInArrow(run, f"{kinds}, {PARSED}")
 
-def score(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with wiki_score and markdown_score, the line forms that only the one or the other dialect has, and path,
-    the container path of the line form that both have."""
-    path = F.when(text.rlike(RUN_PATH), "#+").when(text.rlike(LONE_PATH), "#").otherwise("")
-    return df.withColumns({"wiki_score": F.regexp_count(text, F.lit(WIKI_ONLY)), "markdown_score": F.regexp_count(text, F.lit(MARKDOWN_ONLY)), "path": path})
 
+def vote(rows: DataFrame, host: str) -> tuple[DataFrame, DataFrame]:
+    """Winners per host: (host, form, reading) and (host, path).
 
-def vote(scored: DataFrame, host: str) -> DataFrame:
-    """(host, path, wiki_wins): how most pages of the host that have evidence of their own mean this path."""
-    ballots = scored.where("wiki_score <> markdown_score AND path <> ''").select(F.col(host), "path", F.when(F.col("wiki_score") > F.col("markdown_score"), 1).otherwise(-1).alias("ballot"))
-    return ballots.groupBy(host, "path").agg((F.sum("ballot") > 0).alias("wiki_wins"))
+    A reading wins by more pages, Markdown on a tie; a path by more pages, then the outermost, then by its name. Ballots
+    combine map-side to a row per host and candidate; the second step sees only those.
+    """
+    forms = rows.where("row = 'form'").groupBy(host, "form").agg(F.sum(F.when(F.col("reading") == _WIKI, 1).otherwise(-1)).alias("n"))
+    readings = forms.select(host, "form", F.when(F.col("n") > 0, _WIKI).otherwise(_MARKDOWN).alias("winner"))
+    ballots = rows.where("row = 'box' AND kind = 'best'").groupBy(host, "path").agg(F.count("*").alias("n"))
+    rank = F.struct(-F.col("n"), F.size(F.filter(F.split("path", ">"), lambda x: x != "")), F.col("path"))
+    return readings, ballots.groupBy(host).agg(F.min_by("path", rank).alias("winner"))
 
 
-def structures(df: DataFrame, key: str, host: str, text: str) -> DataFrame:
-    """(key, kind, content) of every heading, list item, code block and formula, in plain text.
+#: Parts that a host's winners and pages are split into, so that a host with a third of all pages is no hot key.
+SALTS = 16
 
-    Pages without evidence of their dialect read their path as most pages of their host do; where no page of the host can
-    tell, a run of ``# x`` lines is a list and a line on its own a heading. Hosts meet pages in a join whose key is the page itself
-    for pages that need no vote, so no host is a hot key for them. NULL and empty texts give no rows; NULL hosts are one
-    host; repeated rows give repeated results; an empty table gives no rows; further columns are ignored.
-    """
-    base = df.select(F.col(key), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_text")).where("_text IS NOT NULL AND _text <> ''")
-    # Written once, since both the vote and the extraction read it: what comes before is neither run nor shuffled twice.
-    scored = materialize(score(base, F.col("_text")))
-    name = F.concat("_host", F.lit("\x00"), "path")
-    votes = vote(scored, "_host").select(name.alias("_lookup"), "wiki_wins")
-    open_ = (F.col("wiki_score") == F.col("markdown_score")) & (F.col("path") != "")
-    lookup = F.when(open_, name).otherwise(F.concat(F.lit("\x00"), F.xxhash64(key, "_text").cast("string")))
-    pages = scored.withColumn("_lookup", lookup).join(votes, "_lookup", "left")
-    wiki = F.when(open_, F.coalesce("wiki_wins", F.col("path") == "#+")).otherwise(F.col("wiki_score") > F.col("markdown_score"))
-    kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, kinds, contents = [], [], []
-            for k, body, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for a, b in parse_markup(body.as_py(), w):
-                    keys.append(k)
-                    kinds.append(a)
-                    contents.append(b)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(kinds), pa.array(contents)], names=[key, "kind", "content"])
-
-    return pages.select(key, "_text", wiki.alias("_wiki")).mapInArrow(run, f"`{key}` {kind}, kind string, content string")
+def _meet(rows: DataFrame, winners: DataFrame, on: list[str], key: str) -> DataFrame:
+    """Rows with the winner of their host; a host is spread over SALTS parts."""
+    salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], "left").drop("_salt")
+
+
+def structures(df: DataFrame, key: str, host: str, text: str, order: str | None = None, vote_paths: bool = True) -> DataFrame:
+    """(key, kind, content) of every heading, list item, code block and formula in the content of a page, in plain text.
+
+    With ``order`` only the rows of a key that are greatest in it count (NULL is the least), those without a text too.
+    Of a page with containers what stands within its host's winning path counts, or within its own choice if it has no
+    such container; with ``vote_paths`` off every container counts. Pages without evidence of their dialect read their
+    shared line form as most pages of their host do; where no page of the host can tell, a run of ``# x`` lines is a list
+    and a line on its own a heading. Each row comes once. NULL and empty texts give no rows; NULL hosts are one host; NULL
+    keys are one page; an empty table gives no rows; further columns are ignored.
+    """
+    named = df.select(F.col(key), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_body"), *([F.col(order).alias("_order")] if order else []))
+    rows = parsed(named, [key, "_host", *(["_order"] if order else [])], "_body")
+    if order:
+        last = named.groupBy(F.col(key).alias("_key")).agg(F.max("_order").alias("_last"))
+        same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_order").eqNullSafe(F.col("_last"))
+        rows = rows.join(last, same, "left_semi").drop("_order")
+    rows = materialize(rows)
+    readings, paths = vote(rows, "_host")
+    found = rows.where("row = 'found'")
+    settled = found.where("NOT open").select(key, "kind", "content")
+    asking = _meet(found.where("open"), readings, ["_host", "form"], key)
+    own = F.coalesce("winner", F.when(F.col("form") == "#+", _WIKI).otherwise(_MARKDOWN))
+    asking = asking.where((F.col("reading") == "") | (F.col("reading") == own)).drop("winner")
+    if vote_paths:
+        boxes = _meet(rows.where("row = 'box'"), paths, ["_host"], key)
+        choice = boxes.groupBy(F.col(key).alias("_page"), "_host").agg(
+            F.coalesce(F.max(F.when(F.col("path") == F.col("winner"), F.col("path"))), F.max(F.when(F.col("kind") == "best", F.col("path")))).alias("choice")
+        )
+        page = F.col(key).eqNullSafe(F.col("_page")) & (asking["_host"] == choice["_host"])
+        inside = F.col("choice").isNull() | (F.col("choice") == "") | (F.col("path") == F.col("choice")) | F.startswith("path", F.concat("choice", F.lit(">")))
+        asking = asking.join(choice, page, "left").where(inside)
+    return settled.unionByName(asking.select(key, "kind", "content")).distinct()

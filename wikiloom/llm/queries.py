@@ -9,35 +9,37 @@ from wikiloom.llm import canonical, chunking, leakage, markup, packing
 from wikiloom.sources.tables import last_value, read_table
 
 
-def last_texts(spark: SparkSession, folder: str, longer_than: int = 0) -> DataFrame:
-    """(page_id, host, text): the sample of each page's latest row in the last snapshot, if it is longer than that.
-
-    Texts that are not are dropped before they are shuffled; the latest row is chosen among all rows.
-    """
+def last_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, host, crawled_at, text) of every row of the last snapshot, outdated and repeated ones too."""
     records = read_table(spark, folder, "page_records")
-    body = F.col("storage_format_sample")
     host = F.concat_ws("/", F.regexp_extract("source_url", "^[a-z]+://([^/?#]+)", 1), "space_key")
-    rows = records.where(F.col("run_id") == last_value(records, "run_id")).select(
-        to_id("id").alias("page_id"),
-        F.struct(F.col("crawled_at"), F.when(F.length(body) > longer_than, body).alias("text"), host.alias("host")).alias("row"),
-    )
-    latest = rows.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("row").alias("row"))
-    return latest.select("page_id", F.col("row.host").alias("host"), F.col("row.text").alias("text")).where("text IS NOT NULL")
+    rows = records.where(F.col("run_id") == last_value(records, "run_id"))
+    return rows.select(to_id("id").alias("page_id"), host.alias("host"), "crawled_at", F.col("storage_format_sample").alias("text")).where("page_id IS NOT NULL")
+
+
+def current(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found in the latest row of each page; ``found`` has page_id and crawled_at of its row. Texts take no part."""
+    last = rows.groupBy("page_id").agg(F.max("crawled_at").alias("last"))
+    return found.join(last, (found["page_id"] == last["page_id"]) & found["crawled_at"].eqNullSafe(last["last"]), "left_semi").drop("crawled_at")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    cut = chunking.pieces(last_texts(spark, folder, chunking.LIMIT), "page_id", "text").drop("text")
-    kinds = cut.groupBy("page_id").agg(F.bool_or("forced").alias("forced"))
+    rows = last_rows(spark, folder)
+    long = rows.where(F.length("text") > chunking.LIMIT).select(F.struct("page_id", "crawled_at").alias("at"), "text")
+    cut = chunking.pieces(long, "at", "text", texts=False).select("at.*", "forced")
+    kinds = current(rows, cut).groupBy("page_id").agg(F.bool_or("forced").alias("forced"))
     return kinds.select("page_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut_type"))
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces themselves, of all texts of the last snapshot."""
-    return chunking.pieces(last_texts(spark, folder), "page_id", "text")
+    rows = last_rows(spark, folder)
+    cut = chunking.pieces(rows.select(F.struct("page_id", "crawled_at").alias("at"), "text"), "at", "text")
+    return current(rows, cut.select("at.*", "piece", "start", "overlap", "forced", "text")).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return markup.structures(last_texts(spark, folder), "page_id", "host", "text").distinct()
+    return markup.structures(last_rows(spark, folder), "page_id", "host", "text", "crawled_at")
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
