@@ -52,6 +52,26 @@ def test_wrapped_keys_repeats_and_null_keys(spark):
     assert [(r.id, r.path, r.type) for r in rows] == [(1, "0", "b"), (1, "0", "b"), (None, "0", "b")]
 
 
+def test_only_one_string_around_a_document_counts(spark):
+    doc = '{"content": [{"type": "a"}]}'
+    assert flat(spark, [(1, json.dumps(json.dumps(doc)))]).count() == 0
+
+
+def test_tables_by_schema_path(spark, tmp_path):
+    rows = flat(spark, [(1, ADF), (2, ADF)])
+    tables = {r.schema_path: r for r in nested.table_catalog(rows).collect()}
+    assert {k: (r.parent_schema, r.nodes, r.attributes) for k, r in tables.items() if k.endswith(("paragraph", "text"))} == {
+        "doc/paragraph": (None, 2, ["align", "deep"]),
+        "doc/paragraph/text": ("doc/paragraph", 2, []),
+    }
+    nested.write_tables(rows, "id", f"file://{tmp_path}")
+    names = {r.schema_path: r.table for r in spark.read.parquet(f"file://{tmp_path}/tables").collect()}
+    assert set(names) == set(tables) and {p.name for p in (tmp_path / "nodes").iterdir() if p.is_dir()} == {f"table={n}" for n in names.values()}
+    texts = spark.read.parquet(f"file://{tmp_path}/nodes/table={names['doc/paragraph/text']}").collect()
+    assert {(r.id, r.path, r.parent_path, r.text) for r in texts} == {(1, "0.0", "0", "x"), (2, "0.0", "0", "x")}
+    assert spark.read.parquet(f"file://{tmp_path}/attributes").where(f"table = '{names['doc/paragraph']}'").count() == 4
+
+
 def test_deep_and_wide_documents(spark):
     depth = 20_000
     deep = '{"content":[' * depth + "{}" + "]}" * depth

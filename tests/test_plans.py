@@ -39,6 +39,15 @@ def test_the_run_reaches_the_scan(spark, name):
     assert "EqualTo(run_id," in plan(spark, name)
 
 
+@pytest.mark.parametrize("name", [n for n in ("link_edges", "crawl_stats", "outgoing_links", "label_enrich", "macro_flags", "rendered_pages", "p2_found") if n in entry.queries()])
+def test_no_body_is_shuffled(spark, name):
+    physical = plan(spark, name).split("== Physical Plan ==")[-1]
+    bodies = re.findall(r"(?:adf|storage_format_sample|text)#\d+", " ".join(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", physical)))
+    # What an exchange carries is the output of the node below it.
+    below = re.findall(r"Exchange [^\n]*\n[ :|+-]*(?:\*\(\d+\) )?(\w+ [^\n]*)", physical)
+    assert not bodies and not any(re.search(r"\b(?:adf|storage_format_sample|_body|_text|text)#\d+(?!\S* AS)", b.split(" AS ")[0]) for b in below if b.startswith(("Project", "FileScan", "Filter")))
+
+
 def test_nothing_uses_local_checkpoints():
     for f in Path(entry.__file__).parent.glob("wikiloom/**/*.py"):
         assert "localCheckpoint(" not in f.read_text(), f

@@ -4,7 +4,10 @@ import json
 
 import pytest
 
-from wikiloom.operators.render import BadDocument, cell_html, has_title, render_document, tidy, Place
+from pyspark.sql import functions as F
+
+from wikiloom.operators import render
+from wikiloom.operators.render import BadDocument, Place, cell_html, has_title, render_document, tidy
 
 
 def doc(*nodes):
@@ -84,3 +87,22 @@ def test_tidy():
 
 def test_title():
     assert has_title("# Some Title\nx", "some title") and not has_title("## Some\n", "Some")
+
+
+def test_documents_nest_as_deeply_as_they_like(spark):
+    for kind, depth in (("panel", 2_000), ("layoutSection", 20_000), ("bulletList", 1_000)):
+        deep = f'{{"type":"{kind}","content":[' * depth + '{"type":"paragraph","content":[{"type":"text","text":"x"}]}' + "]}" * depth
+        assert "x" in render.render_document(f'{{"type":"doc","content":[{deep}]}}')
+    flat = spark.createDataFrame([(f'{{"content":[{deep}]}}',)], "d string").select(render.rendered(F.col("d")).alias("m"))
+    assert "x" in flat.first().m
+
+
+def test_extensions_reach_the_workers(spark):
+    def shout(node, place, out):
+        out.add(render.attr_text(node, "word").upper())
+
+    docs = spark.createDataFrame([('{"content":[{"type":"shout","attrs":{"word":"hey"}}]}',)], "d string")
+    with render.registered({"shout": shout}, {}):
+        column = render.rendered(F.col("d"))
+    assert docs.select(column.alias("m")).first().m == "HEY"
+    assert docs.select(render.rendered(F.col("d")).alias("m")).first().m == "" and "shout" not in render.BLOCKS

@@ -113,20 +113,64 @@ def test_feed_nulls_and_empty(spark):
     assert replayed(spark, rows, [1, 2, 3]) == [(1, 1), (3, 1)]
 
 
-def test_ledger_on_disk_survives_a_failed_attempt(spark, tmp_path):
-    rows = [(1, "1", 1, "t", None, T0, "k", "s", 1), (2, "1", 1, "t", None, T0, "k", "s", 1), (2, "2", 1, "t", None, T0, "k", "s", 1)]
-    feed = incremental.feed_of_pages(spark.createDataFrame(rows, FEED))
-    path, seen = f"file://{tmp_path}/ledger", []
-    incremental.run_with_ledger(feed, path, 1, None, lambda df: seen.append(sorted(r.key for r in df.collect())))
+def feed_rows(spark, *rows):
+    """Deliveries (transaction, page, version, title, minute)."""
+    return incremental.feed_of_pages(spark.createDataFrame([(r, p, v, t, None, T0 + timedelta(minutes=m), "k", "s", 1) for r, p, v, t, m in rows], FEED))
+
+
+def keys(df):
+    return sorted(r.key for r in df.collect())
 
-    def fail(df):
-        raise RuntimeError("lost")
 
-    with pytest.raises(RuntimeError):
-        incremental.run_with_ledger(feed, path, 2, 1, fail)
-    incremental.run_with_ledger(feed, path, 2, 1, lambda df: seen.append(sorted(r.key for r in df.collect())))
-    incremental.run_with_ledger(feed, path, 2, 1, lambda df: seen.append(sorted(r.key for r in df.collect())))
-    assert seen == [[1], [2], [2]]
+def test_a_run_survives_a_failure_at_every_step(spark, tmp_path, monkeypatch):
+    feed = feed_rows(spark, (1, "1", 1, "t", 0), (2, "1", 1, "t", 0), (2, "2", 1, "t", 0))
+    more = feed.unionByName(feed_rows(spark, (2, "3", 1, "t", 1)))
+    path, seen = f"file://{tmp_path}/ledger", []
+
+    def work(df):
+        seen.append(keys(df))
+        return df.select("key")
+
+    assert keys(incremental.run_with_ledger(feed, path, 1, work)) == [1]
+    with monkeypatch.context() as m:  # before anything is fixed
+        m.setattr(incremental.Folder, "put", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            incremental.run_with_ledger(feed, path, 2, work)
+    assert seen == [[1]]
+    with pytest.raises(RuntimeError):  # within the work
+
+        def fail(df):
+            raise RuntimeError("lost")
+
+        incremental.run_with_ledger(feed, path, 2, fail)
+    with monkeypatch.context() as m:  # after the work, before the run is done
+        m.setattr(incremental.Folder, "rename", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            incremental.run_with_ledger(more, path, 2, work)
+    assert not list(tmp_path.glob("ledger/run=2*")) and seen == [[1], [2]]
+    assert keys(incremental.run_with_ledger(more, path, 2, work)) == [2] and seen == [[1], [2], [2]]
+    assert keys(incremental.run_with_ledger(more, path, 2, work)) == [2] and len(seen) == 3
+    assert keys(spark.read.parquet(f"{path}/run=2,open=3/output")) == [2]
+    assert keys(incremental.run_with_ledger(more.unionByName(feed_rows(spark, (3, "3", 2, "t", 2))), path, 3, work)) == [3]
+
+
+def test_what_an_open_transaction_commits_late_is_not_skipped(spark, tmp_path):
+    path, none = f"file://{tmp_path}/ledger", lambda df: None
+    early = [(3, "1", 1, "a", 0), (5, "2", 1, "a", 1), (5, "4", 3, "a", 1)]
+    assert keys(incremental.run_with_ledger(feed_rows(spark, *early), path, 5, none, oldest_open=3)) == [1, 2, 4]
+    late = [(3, "3", 1, "a", 2), (4, "4", 2, "b", 3), (3, "2", 1, "a", 4)]
+    assert keys(incremental.run_with_ledger(feed_rows(spark, *early, *late, (6, "5", 1, "a", 5)), path, 6, none)) == [3, 5]
+    assert keys(incremental.run_with_ledger(feed_rows(spark, *early, *late, (4, "9", 1, "a", 9), (7, "5", 1, "b", 6)), path, 7, none)) == [5]
+
+
+def test_merged_states_settle_like_the_runs_they_replace(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "MERGE_EVERY", 2)
+    path, got = f"file://{tmp_path}/ledger", []
+    rows = [(r, str(p), r // 2, "t", r) for r in range(1, 7) for p in range(r, 8)]
+    for run in range(1, 7):
+        got += [(run, k) for k in keys(incremental.run_with_ledger(feed_rows(spark, *rows), path, run, lambda df: None))]
+    assert got == sorted((r.run_id, r.key) for r in incremental.replay(feed_rows(spark, *rows), range(1, 7)).collect())
+    assert {e.run_id for e in incremental.Folder(spark, path).entries() if e.kind == "state"} == {3, 5}
 
 
 def test_classification(spark):

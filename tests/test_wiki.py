@@ -45,7 +45,7 @@ def test_attachment_filenames(spark):
 
 
 def test_file_helpers(spark):
-    assert files.page_filename("Ärger & Co: Plan!", "7") == "arger-co-plan_7.md" and files.page_filename("日本", "7") == "page_7.md"
+    assert files.page_filename("Ärger & Co: Plan!", "7") == "arger-and-co-plan_7.md" and files.page_filename("日本", "7") == "page_7.md"
     assert files.quote('a"b\\c\n\x01é\u200b') == '"a\\"b\\\\c\\n\\x01é\\u200b"'
     assert column(spark, ['a"b', "t\tx", "é", None], files.quoted) == ['"a\\"b"', '"t\\tx"', '"é"', None]
     assert files.inside_folder("/a/b", "/a/b/../b/c") and not files.inside_folder("/a/b", "/a/b/../c")
@@ -173,13 +173,16 @@ def test_metadata_document(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps({"pages": {"2": RECORD}}))
     with pytest.raises(ValueError, match="key differs"):
         store.read_metadata(spark, f"file://{tmp_path}/bad.json")
+    store.write_metadata(df, str(tmp_path / "lines.json"))
+    assert store.read_metadata(spark, str(tmp_path / "lines.json")).first() == row
 
 
 def test_snapshot_pointer(spark, tmp_path):
     assert store.read_snapshot(spark, str(tmp_path)) is None
     for n in (1, 2):
-        store.write_snapshot(spark.range(n), str(tmp_path), n)
-    assert store.read_snapshot(spark, str(tmp_path)).count() == 2
+        store.commit(str(tmp_path), n, store.write_snapshot(spark.range(n), str(tmp_path), n), {"completed": {"n": n}})
+    store.write_snapshot(spark.range(3), str(tmp_path), 3)  # a run that failed before it was committed
+    assert store.read_snapshot(spark, str(tmp_path)).count() == 2 and store.current(str(tmp_path))["checkpoints"] == {"completed": {"n": 2}}
     store.write_pages(spark.createDataFrame([("a/b.md", "x")], "local_path string, text string"), str(tmp_path / "out"))
     assert (tmp_path / "out/a/b.md").read_text() == "x"
     store.clear_folder(str(tmp_path / "out"))
@@ -199,7 +202,8 @@ def test_reconcile_prune_index_and_checkpoints(spark):
     seeds = spark.createDataFrame([(0, "2"), (1, "7"), (2, "1")], "pos int, seed_id string")
     lines = [r.line for r in records.index_lines(new, seeds).orderBy("pos").collect()]
     assert lines == ["- [B](b_2.md) - source: <http://s>", "- Page 7 (not present in current crawl output)", "- [A2](a2_1.md)"]
-    assert "- No configured" in records.index_page([], "never", "never")
+    assert "- No configured" in records.index_page([], "a", "b") and records.checkpoint_text(None) == "not available"
+    assert records.checkpoint_text({"mode": "full", "started": "s", "completed": "c"}) == "mode=full, started=s, completed=c"
     t = [datetime(2025, 1, d) for d in (1, 2)]
     cp = "struct<mode:string,started:timestamp,completed:timestamp>"
     state = spark.createDataFrame([(1, ("full", t[0], t[1]), None), (2, ("odd", t[0], t[1]), ("full", t[1], t[0])), (3, ("full", None, t[0]), (None, None, None))], f"run_id int, last_completed {cp}, last_successful {cp}")
@@ -212,7 +216,9 @@ def test_summary_and_metrics(spark):
     df = spark.createDataFrame([("dirty",), ("clean",), ("clean",), ("deleted",)], "kind string")
     m = records.run_metrics(df).first().asDict()
     assert m == {"total": 4, "deleted": 1, "rerendered": 1, "reused": 2, "reachable": 3, "saved_percent": 66.7}
-    assert "Re-render saves: 2 (66.7%)" in records.summary("updates", m, {0: 1, 1: 3}) and "dry-run" in records.summary("full", m, {}, True)
+    assert "2 kept (66.7% saved)" in records.summary("updates", m, {0: 1, 1: 3}) and "dry run" in records.summary("full", m, {}, True)
+    files = {"added": 1, "deleted": 2}
+    assert "files would be added 1, updated 0, removed as stale 2" in records.summary("full", m, {}, True, files=files) and "files added 1" in records.summary("full", m, {}, files=files)
     assert records.run_metrics(df.limit(0)).first().saved_percent == 0.0
 
 
@@ -229,7 +235,7 @@ def test_blobs(spark, tmp_path):
     (tmp_path / "out").mkdir()
     (tmp_path / "in" / "a").write_bytes(b"12345")
     (tmp_path / "in" / "b").write_bytes(b"1" * 50)
-    blobs = attachments.read_blobs(spark, f"file://{tmp_path}/in", 10).select(F.regexp_extract("path", "([^/]+)$", 1).alias("attachment_id"), "content")
+    blobs = attachments.read_blobs(spark, f"file://{tmp_path}/in", 10)
     planned = spark.createDataFrame([("1_a.txt", "a", None), ("1_b.txt", "b", None), (None, "c", "no id")], "filename string, attachment_id string, error string")
     attachments.copy_blobs(planned, blobs, str(tmp_path / "out"))
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["1_a.txt"] and (tmp_path / "out/1_a.txt").read_bytes() == b"12345"

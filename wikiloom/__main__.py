@@ -1,19 +1,19 @@
 """Command line: ``python -m wikiloom run|validate --config FILE --tables DIR [--out DIR] [--mode full|updates] [--dry-run]``.
 
-Tables are Parquet files named as in ``sources/tables.py``; ``cql_results`` is optional. ``run`` writes pages, snapshot,
-index and checkpoints to the output folder, which all executors must share, and starts the configured hook at the end.
+Tables are Parquet files named as in ``sources/tables.py``; ``cql_results`` is optional, and so is ``blobs``, a folder of
+attachments named by id. ``run`` writes pages, attachments, metadata, snapshot, start page and checkpoints to the output
+folder, which all executors must share (emptied first in full mode), and starts the configured hook at the end.
 """
 
 from __future__ import annotations
 
 import argparse
-import json
 import os
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
-from wikiloom.operators import records
+from wikiloom.operators import attachments, records
 from wikiloom.plans import pipeline
 from wikiloom.session import build_session
 from wikiloom.sources import store
@@ -29,34 +29,22 @@ def load(path: str) -> Config:
     return config
 
 
-def read_inputs(spark: SparkSession, folder: str, config: Config, previous) -> pipeline.Inputs:
-    tables = [read_table(spark, folder, f"api_{t}") for t in ("pages", "comments", "attachments", "users")]
-    related = read_table(spark, folder, "cql_results") if os.path.exists(f"{folder}/cql_results.parquet") else None
-    return pipeline.Inputs(*tables, config.seeds, related, previous)
+TABLES = tuple(f"api_{t}" for t in ("pages", "comments", "attachments", "users"))
 
 
-def checkpoints(folder: str) -> dict:
-    path = os.path.join(folder, "checkpoints.json")
-    if not os.path.exists(path):
-        return {}
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
-
-
-def advance(folder: str, mode: str, started: datetime, failed: int) -> dict:
-    """Completed always moves on, successful only when no page failed; written beside and renamed."""
-    now = {"mode": mode, "started": started.isoformat(), "completed": datetime.now(timezone.utc).isoformat()}
-    state = {**checkpoints(folder), "completed": now, **({} if failed else {"successful": now})}
-    path = os.path.join(folder, "checkpoints.json")
-    with open(f"{path}.part", "w", encoding="utf-8") as f:
-        json.dump(state, f, indent=2)
-    os.replace(f"{path}.part", path)
-    return state
+def read_inputs(spark: SparkSession, folder: str, config: Config, previous) -> pipeline.Inputs:
+    tables = [read_table(spark, folder, t) for t in TABLES]
+    related = read_table(spark, folder, "cql_results") if os.path.exists(f"{folder}/cql_results.parquet") else None
+    limit = config.max_attachment_mb * 1024 * 1024
+    blobs = attachments.read_blobs(spark, f"{folder}/blobs", limit) if config.download_attachments and os.path.isdir(f"{folder}/blobs") else None
+    return pipeline.Inputs(*tables, config.seeds, related, previous, blobs)
 
 
-def told(state: dict, name: str) -> str:
-    at = state.get(name)
-    return f"{at['completed']} ({at['mode']})" if at else "never"
+def advanced(folder: str, mode: str, started: datetime, failed: int) -> dict:
+    """Checkpoints after a run: completed always moves on, successful only when no page failed."""
+    stamp = lambda at: at.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    now = {"mode": mode, "started": stamp(started), "completed": stamp(datetime.now(timezone.utc))}
+    return {**store.current(folder).get("checkpoints", {}), "completed": now, **({} if failed else {"successful": now})}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -73,20 +61,32 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session("wikiloom")
     out = args.out or config.output_dir
     if args.command == "validate":
-        print(f"{read_inputs(spark, args.tables, config, None).api_pages.limit(1).count()} page readable, {len(config.seeds)} seeds, depth {config.max_depth}")
+        inputs = read_inputs(spark, args.tables, config, None)
+        rows = {t: getattr(inputs, t).limit(1).count() for t in TABLES}
+        print(f"readable: {', '.join(f'{t} ({n or "no"} row)' for t, n in rows.items())}; {len(config.seeds)} seeds, depth {config.max_depth}")
         return 0
     started = datetime.now(timezone.utc)
     previous = store.read_snapshot(spark, out) if args.mode == "updates" else None
     inputs = read_inputs(spark, args.tables, config, previous)
-    limit = config.max_attachment_mb if config.download_attachments else 0
-    result = pipeline.run(inputs, config.base_url(), started, args.mode, config.max_depth, limit, args.dry_run)
-    files = None
+    result = pipeline.run(
+        inputs,
+        config.base_url(),
+        started,
+        args.mode,
+        config.max_depth,
+        config.max_attachment_mb,
+        args.dry_run,
+        download_attachments=config.download_attachments,
+        max_queue=config.max_queue,
+        follow_children=config.follow_children,
+    )
+    files = moved = None
     if not args.dry_run:
-        os.makedirs(out, exist_ok=True)
-        files = {r.outcome: r["count"] for r in result.artifacts.groupBy("outcome").count().collect()}
-        state = advance(out, args.mode, started, result.failed)
-        pipeline.export(result, inputs, out, args.run_id, told(state, "successful"), told(state, "completed"))
-    print(records.summary(args.mode, result.metrics, result.depths, args.dry_run, files=files))
+        # Checkpoints are read before a full run empties the folder; they are written after everything else.
+        state = advanced(out, args.mode, started, result.failed)
+        files = pipeline.export(result, inputs, out, args.run_id, lambda: state, clear=args.mode == "full")
+        moved = not result.failed
+    print(records.summary(args.mode, result.metrics, result.depths, args.dry_run, result.links, result.rewritten, files, moved))
     if config.post_hook_enabled:
         run_hook(config.post_hook, args.dry_run)
     return 1 if result.failed else 0

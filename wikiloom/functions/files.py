@@ -46,10 +46,40 @@ def inside_folder(folder: str, path: str) -> bool:
     return posixpath.commonpath([base, full]) == base
 
 
+#: Latin spellings of letters that do not decompose to Latin ones.
+LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch",
+    "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "і": "i", "є": "ie", "ґ": "g",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i",
+}
+#: Signs that titles' words are kept or joined by.
+SIGNS = {"&": "and", "@": "at", "'": "", '"': "", "\u2019": ""}
+_NAMED = re.compile(r"(?:HANGUL SYLLABLE|(?:HIRAGANA|KATAKANA) LETTER(?: SMALL)?) ([A-Z]+)$")
+
+
+def latin(ch: str) -> str:
+    """One character in ASCII: without accents, by the table, or as its Unicode name spells it (kana, Hangul); a space
+    for anything else, ideographs among them."""
+    if ch.isascii():
+        return ch
+    base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)) or " "
+    if base.isascii():
+        return base
+    if (known := LETTERS.get(base if base in LETTERS else ch)) is not None:
+        return known
+    named = _NAMED.match(unicodedata.name(ch, ""))
+    return named[1].lower() if named else " "
+
+
 def slug(title: str) -> str:
-    """Lower-case ASCII words joined by hyphens; accents are dropped, other letters left out."""
-    ascii_ = unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode()
-    return re.sub(r"[^a-z0-9]+", "-", ascii_.lower()).strip("-")
+    """Lower-case ASCII words joined by hyphens; letters of other scripts are spelled in Latin ones."""
+    text = unicodedata.normalize("NFC", title).lower()
+    for sign, word in SIGNS.items():
+        text = text.replace(sign, word)
+    return re.sub(r"-{2,}", "-", re.sub(r"[^a-z0-9_-]", "-", "".join(map(latin, text)).lower())).strip("-_")
 
 
 def page_filename(title: str, page_id: str) -> str:

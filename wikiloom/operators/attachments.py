@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import re
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from wikiloom.functions.files import attachment_filename, inside_folder
+from wikiloom.functions.files import attachment_filename
 from wikiloom.functions.text import strip_white
 from wikiloom.operators.snapshots import latest_rows
 
@@ -49,36 +46,16 @@ def outcomes(attachments: DataFrame, max_mb: int) -> DataFrame:
 
 
 def read_blobs(spark, folder: str, max_bytes: int = 0) -> DataFrame:
-    """Files of a folder as rows; those over the limit are left out before their content is read."""
+    """(attachment_id, content) of the files of a folder, which are named by attachment id; those over the limit are left
+    out before their content is read."""
     files = spark.read.format("binaryFile").load(folder)
-    return files.where(F.col("length") <= max_bytes) if max_bytes else files
+    files = files.where(F.col("length") <= max_bytes) if max_bytes else files
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("attachment_id"), "content")
 
 
 def copy_blobs(planned: DataFrame, blobs: DataFrame, folder: str) -> None:
-    """Write planned(filename, attachment_id) from blobs(attachment_id, content) into a folder that all executors share.
-
-    Each file is written under another name and renamed, so that a task that runs again leaves no partial file.
-    """
-    rows = planned.where("error IS NULL").join(blobs, "attachment_id").select("filename", "content")
-
-    def write(part) -> None:
-        for row in part:
-            target = os.path.join(folder, row.filename)
-            if not inside_folder(folder, target):
-                raise ValueError(f"{row.filename} is outside of {folder}")
-            partial = f"{target}.part"
-            with open(partial, "wb") as f:
-                f.write(row.content)
-            os.replace(partial, target)
-
-    rows.foreachPartition(write)
-
-
-def present(records: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(id, files): how many of each record's files are in the store; blobs has (path), relative like the records'."""
-    listed = records.select("id", F.explode("attachments").alias("path")).join(blobs.select("path"), "path", "left_semi")
-    return listed.groupBy("id").agg(F.count("*").alias("files"))
-
+    """Write planned(filename, attachment_id, error) from blobs(attachment_id, content) into a folder; failed ones are
+    left out."""
+    from wikiloom.sources.store import write_blobs
 
-def attachment_names(markdown: Column) -> Column:
-    return F.regexp_extract_all(markdown, F.lit(re.escape("](attachment://") + "([^)]+)\\)"), F.lit(1))
+    write_blobs(planned.where("error IS NULL").join(blobs, "attachment_id").select("filename", "content"), folder)

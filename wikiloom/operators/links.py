@@ -68,7 +68,7 @@ def incoming(pages: DataFrame, key: str, outgoing_links: str) -> DataFrame:
 
 
 def without_deleted(pages: DataFrame, key: str, outgoing_links: str, deleted: DataFrame) -> DataFrame:
-    """(key, outgoing): links to deleted pages are left out, all others kept with their order and repeats."""
+    """(key, outgoing): links to deleted pages are left out, all others kept with their order and repeats; NULL is none."""
     links = pages.select(key, F.posexplode(outgoing_links).alias("pos", "dst"))
     kept = links.join(deleted.select(F.col(deleted.columns[0]).cast("string").alias("dst")).distinct(), "dst", "left_anti")
     lists = kept.groupBy(key).agg(ordered_ids(F.col("dst"), F.col("pos")).alias("outgoing"))
@@ -107,13 +107,14 @@ def label_queries(document: str | None) -> list[str]:
 
 
 def label_queries_column(document: Column | str) -> Column:
-    """array<string> of :func:`label_queries`; documents without the macro never leave the JVM's filter."""
+    """array<string> of :func:`label_queries`; only documents with the macro leave the JVM."""
+    d = col(document)
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(label_queries)
 
-    return run(col(document))
+    return run(F.when(d.contains('"contentbylabel"'), d))
 
 
 def absolutize(markdown: Column | str, origin: str) -> Column:

@@ -19,6 +19,7 @@ class Config:
     concurrency: int = 5
     requests_per_minute: int = 250
     max_queue: int = 10_000
+    follow_children: bool = False
     output_dir: str = "output"
     download_attachments: bool = False
     max_attachment_mb: int = 100

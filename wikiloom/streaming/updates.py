@@ -14,13 +14,14 @@ from wikiloom.operators import incremental
 def process_changes(feed: DataFrame, ledger_path: str, work: Callable[[DataFrame], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Run ``work`` on the records that are new or changed, once per micro-batch.
 
-    A batch is a run: its number is the batch id, which Structured Streaming repeats after a failure, and its ledger
-    entry replaces that of a failed attempt. ``feed`` is a stream of page states.
+    A batch is a run: its number is the batch id, which Structured Streaming repeats after a failure. A batch that is
+    repeated finds its run pending, and works on the same records, or done, and works on none. ``feed`` is a stream of page
+    states.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         states = incremental.feed_of_pages(rows.withColumn("run_id", F.lit(batch_id)))
-        incremental.run_with_ledger(states, ledger_path, batch_id, batch_id - 1 if batch_id else None, work)
+        incremental.run_with_ledger(states, ledger_path, batch_id, work)
 
     writer = feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
