@@ -10,6 +10,7 @@ from wikiloom.llm.canonical import canonical_text, look_alike_pairs, script_set,
 SAME = [
     ("Hello", "Ｈｅｌｌｏ"), ("a b", "a b"), ("a b", "a b"), ("café", "café"), ("word", "wo​rd"), ("word", "wo­rd"), ("cat", "сat"),
     ("co-op", "co‑op"), ("office", "oﬃce"), ("カー", "ｶｰ"), ("ガ", "ｶﾞ"), ("ACE 12", "АСЕ 12"), ("привет", "привeт"),
+    ("paypal", "ρaypal"), ("apple", "αpple"), ("Apple", "Ꭺpple"), ("HALT", "\u13bb\u13aa\u13de\u0422"), ("bold", "𝐛𝐨𝐥𝐝"), ("γαια", "γaιa"), ("ᎪᏣ", "AᏣ"),
     ("сор вода", "cop вoдa"), ("κόσμος", "κόσμoς"), ("noël", "noёl"), ("100%", "１００％"),
 ]
 OTHER = [("cat", "Cat"), ("cafe", "café"), ("a b", "a\nb"), ("10", "1O"), ("\"x\"", "“x”"), ("x2", "x²"), ("a,b", "a.b"), ("rn", "m"), ("1l", "11"), ("a-b", "a–b")]

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from wikiloom.llm.packing import TOKENIZER, pack, plan_containers, token_counts
+from wikiloom.llm.packing import TOKENIZER, attention, pack, plan_containers, token_counts, with_capacities
 
 
 def fill(placements):
@@ -43,13 +43,40 @@ def test_plan_of_a_huge_count_is_small():
     assert len(placements) < 20 and sum(n for _, n, _, _ in containers) == 10**12 + 1
 
 
+def paid(containers, cost):
+    return sum(n * cost(cap) for _, n, _, cap in containers)
+
+
 def test_cost_decides_what_is_opened():
-    _, containers = plan_containers({20: 4}, [25, 100], cost=lambda c: c + 1)
-    assert [c[3] for c in containers] == [25, 25] or sum(c[1] for c in containers) == 4 or containers[0][3] == 100
-    _, one = plan_containers({20: 5}, [25, 100])
-    assert sum(c[1] for c in one) == 1 and one[0][3] == 100
-    _, low = plan_containers({10: 1}, [25, 100])
-    assert low[0][3] == 25
+
+    def plan(*args, **named):
+        out = defaultdict(int)
+        for _, n, _, cap in plan_containers(*args, **named)[1]:
+            out[cap] += n
+        return set(out.items())
+
+    assert plan({20: 4}, [25, 100], cost=lambda c: c) == {(25, 4)}  # four small ones hold the same as one large one
+    assert plan({20: 4}, [25, 100], cost=lambda c: c + 50) == {(100, 1)}  # a fixed part for each container
+    assert plan({20: 5}, [25, 100]) == {(100, 1)} and plan({10: 1}, [25, 100]) == {(25, 1)}
+    # What is left at the end fits a smaller size: the estimate is made of what is still to be placed.
+    assert plan({60: 3}, [60, 120]) == {(120, 1), (60, 1)}
+
+
+def test_several_lengths_cost_less_than_one():
+    rng = random.Random(3)
+    counts = defaultdict(int)
+    for _ in range(4000):
+        counts[min(2048, int(rng.lognormvariate(5, 1)) + 1)] += 1
+    _, joint = plan_containers(dict(counts), [256, 512, 1024, 2048], attention)
+    _, plain = plan_containers(dict(counts), [2048], attention)
+    assert len({c[3] for c in joint}) > 1 and paid(joint, attention) < 0.95 * paid(plain, attention)
+
+
+def test_placements_know_the_final_capacity():
+    placements, containers = plan_containers({60: 7, 30: 3, 5: 2}, [40, 70, 100])
+    caps = {b: cap for first, n, _, cap in containers for b in range(first, first + n)}
+    rows = with_capacities(placements, containers)
+    assert sum(r[2] for r in rows) == 12 and all(caps[b] == r[4] for r in rows for b in range(r[3], r[3] + r[2]))
 
 
 def test_pack(spark):

@@ -1,7 +1,7 @@
 """Visually identical text in one consistent form.
 
-Width forms, presentation ligatures, kinds of space and hyphen, invisible characters and combining accents are brought
-to one spelling; look-alike letters of different scripts are settled token by token. For each token the script sets of
+Width and font forms, presentation ligatures, kinds of space and hyphen, invisible characters and combining accents are
+brought to one spelling; look-alike letters of different scripts are settled token by token. For each token the script sets of
 its letters are intersected. An empty intersection is a mixed-script token; a token whose letters all have twins in
 another script is a whole-script confusable. A mixed token is spelled in the script that its unambiguous letters have;
 a token of ambiguous letters only in the script that the unambiguous letters of the whole text mostly have, or Latin.
@@ -34,7 +34,7 @@ TWINS = {
         ("O", "О"), ("P", "Р"), ("Q", "Ԛ"), ("S", "Ѕ"), ("T", "Т"), ("W", "Ԝ"), ("X", "Х"), ("Y", "Ү"),
     ],
     "Greek": [
-        ("o", "ο"), ("v", "ν"), ("j", "ϳ"),
+        ("a", "α"), ("i", "ι"), ("j", "ϳ"), ("o", "ο"), ("p", "ρ"), ("u", "υ"), ("v", "ν"), ("y", "γ"),
         ("A", "Α"), ("B", "Β"), ("E", "Ε"), ("H", "Η"), ("I", "Ι"), ("K", "Κ"), ("M", "Μ"), ("N", "Ν"), ("O", "Ο"), ("P", "Ρ"),
         ("T", "Τ"), ("X", "Χ"), ("Y", "Υ"), ("Z", "Ζ"),
     ],
@@ -44,16 +44,26 @@ _LATIN_TO = {script: {a: b for a, b in pairs} for script, pairs in TWINS.items()
 _TO_LATIN = {b: a for pairs in TWINS.values() for a, b in pairs}
 _AMBIGUOUS = frozenset(_TO_LATIN) | {a for pairs in TWINS.values() for a, _ in pairs}
 
+#: Cherokee letters that look like Latin ones. Whole words of the script have others too, so a word without
+#: any of those is Latin and a word with one is Cherokee.
+CHEROKEE = [
+    ("A", "Ꭺ"), ("B", "Ᏼ"), ("C", "Ꮯ"), ("D", "Ꭰ"), ("E", "Ꭼ"), ("G", "Ꮐ"), ("H", "Ꮋ"), ("J", "Ꭻ"), ("K", "Ꮶ"), ("L", "Ꮮ"),
+    ("M", "Ꮇ"), ("P", "Ꮲ"), ("R", "Ꮢ"), ("S", "Ꮪ"), ("T", "Ꭲ"), ("V", "Ꮩ"), ("W", "Ꮃ"), ("Z", "Ꮓ"), ("i", "Ꭵ"),
+]
+_FROM_CHEROKEE = {b: a for a, b in CHEROKEE}
+_TO_CHEROKEE = {a: b for a, b in CHEROKEE}
+
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
-_FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}]")
+_FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}]")
+_CHEROKEE = regex.compile(r"\p{Cherokee}")
 #: Format characters, but for the visible Arabic ones and for joiners within emoji sequences.
 _INVISIBLE = regex.compile(
     r"(?<![\p{Extended_Pictographic}\ufe0f])\u200d|[[\p{Cf}\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0]--[\u0600-\u0605\u06dd\u070f\u08e2\u200d]]",
     regex.V1,
 )
-#: Latin letters whose twins are not in common use in the script, so that a whole token of ambiguous
-#: letters among which they are is taken for Latin.
-RARE = frozenset("dhijlqswGIJQSWYvu")
+#: Latin letters whose twins are not in common use in a script, so that a whole token of ambiguous letters
+#: among which they are is not taken for that script.
+RARE = {"Cyrillic": frozenset("dhijlqswGIJQSWYvu"), "Greek": frozenset("j"), "Armenian": frozenset("S")}
 _SCRIPTS = ("Latin", *TWINS)
 _SCRIPT_OF = [(s, regex.compile(rf"\p{{Script_Extensions={s}}}")) for s in _SCRIPTS]
 
@@ -64,7 +74,7 @@ def _plain_forms() -> dict[int, str]:
     for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
         tag, _, rest = unicodedata.decomposition(ch).partition(" ")
-        if tag in ("<wide>", "<narrow>", "<noBreak>") or 0xFB00 <= cp <= 0xFB06:
+        if tag in ("<wide>", "<narrow>", "<font>", "<noBreak>") or 0xFB00 <= cp <= 0xFB06:
             out[cp] = unicodedata.normalize("NFKC", ch) if 0xFB00 <= cp <= 0xFB06 else "".join(chr(int(x, 16)) for x in rest.split())
         if unicodedata.category(ch) == "Zs":
             out[cp] = " "
@@ -112,13 +122,17 @@ def _settle(text: str, main: str | None) -> str:
 
     def spell(m) -> str:
         token = m[0]
+        if _CHEROKEE.search(token):
+            if any(_CHEROKEE.match(c) and c not in _FROM_CHEROKEE for c in token):
+                return "".join(_TO_CHEROKEE.get(c, c) for c in token)
+            token = "".join(_FROM_CHEROKEE.get(c, c) for c in token)
         if not any(c in _AMBIGUOUS for c in token):
             return token
         common = frozenset.intersection(*[s for c in token if (s := script_set(c))])
         if len(common) == 1:
             return _spell(token, next(iter(common)))
         if common:  # every letter has a twin: whole-script confusable
-            rare = any(_TO_LATIN.get(c, c) in RARE for c in token)
+            rare = main in RARE and any(_TO_LATIN.get(c, c) in RARE[main] for c in token)
             return _spell(token, main if main in common and not rare else min(common, key=_SCRIPTS.index))
         decided = _decided(token)  # mixed scripts beyond look-alikes
         return _spell(token, max(_SCRIPTS, key=lambda s: (decided[s], -_SCRIPTS.index(s))))

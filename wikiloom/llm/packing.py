@@ -3,8 +3,8 @@
 Variable-capacity best-fit, worked out on the histogram of sizes: sizes are whole numbers up to the capacity, so the
 driver sees at most ``capacity`` counts, however many items there are. Sizes are placed from the largest down, each in
 the fullest containers that still have room, whole ranges of equal containers at a time; where none has room, new ones
-of the least-cost permitted size are opened. At the end each container shrinks to the smallest permitted size that holds
-its contents. The outcome is a list of placements (items number a..b of size s go to containers c..d), again of a size
+of the least-cost permitted size are opened: least by cost for each token that such a container can get of what is still
+to be placed. At the end each container shrinks to the smallest permitted size that holds its contents. The outcome is a list of placements (items number a..b of size s go to containers c..d), again of a size
 that does not depend on the number of items; items are numbered within their size by a two-step count over salted
 groups, and meet their placement in a broadcast join.
 """
@@ -30,16 +30,28 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items that are numbered in one sorted group.
 PER_GROUP = 500_000
-PLACEMENTS = "size int, first_rank bigint, n bigint, first_container bigint"
+PLACEMENTS = "size int, first_rank bigint, n bigint, first_container bigint, container_capacity int"
+
+
+def fewest(capacity: int) -> float:
+    """Every container costs the same: their number is the aim, and of equally good sizes the smallest is opened."""
+    return 1.0
+
+
+def attention(capacity: int, width: int = 4096, each: int = 64) -> float:
+    """Work of a training step over one sequence of this length, padding included, in tokens: a linear part, a quadratic
+    one that equals it at ``width``, and a fixed part for each sequence."""
+    return capacity + capacity * capacity / width + each
 
 
 def plan_containers(counts: dict[int, int], capacities: Sequence[int], cost: Callable[[int], float] | None = None) -> tuple[list[tuple], list[tuple]]:
     """Placements (size, first rank, n, first container) and containers (first, n, used, capacity).
 
-    ``cost`` of a container by its permitted size; by default all cost the same, which makes their number the aim.
+    ``cost`` of a container by its permitted size, by default :func:`fewest`. Both lists grow with the number of sizes.
     """
     caps = sorted(capacities)
-    cost = cost or (lambda c: 1.0)
+    cost = cost or fewest
+    left_over = {s: n for s, n in counts.items() if s > 0}
     room: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # room left -> (first, n, opened capacity)
     open_rooms: list[int] = []
     placements: list[tuple] = []
@@ -50,7 +62,7 @@ def plan_containers(counts: dict[int, int], capacities: Sequence[int], cost: Cal
             bisect.insort(open_rooms, left)
         room[left].append(group)
 
-    for size in sorted((s for s in counts if s > 0), reverse=True):
+    for size in sorted(left_over, reverse=True):
         todo, rank = counts[size], 0
         while todo:
             at = bisect.bisect_left(open_rooms, size)
@@ -63,14 +75,15 @@ def plan_containers(counts: dict[int, int], capacities: Sequence[int], cost: Cal
                 if used < n:
                     put(left, (first + used, n - used, cap))
             else:
-                cap = min((c for c in caps if c >= size), key=lambda c: (cost(c) / _fill(counts, size, c), c))
+                cap = min((c for c in caps if c >= size), key=lambda c: (cost(c) / _fill(left_over, size, c), c))
                 left, first = cap, fresh
-                used = max(1, -(-todo // (cap // size)))
+                used = _alike(left_over, size, cap)
                 fresh += used
             placements.append((size, rank, used, first))
             put(left - size, (first, used, cap))
             todo -= used
             rank += used
+            left_over[size] -= used
     containers = [(first, n, cap - left, min(c for c in caps if c >= cap - left)) for left, groups in room.items() for first, n, cap in groups]
     return placements, sorted(containers)
 
@@ -79,13 +92,19 @@ def _fill(counts: dict[int, int], size: int, capacity: int) -> int:
     """Tokens that a container of this capacity can hold of an item and the sizes up to it."""
     held, left = size, capacity - size
     for s in sorted((s for s in counts if 0 < s <= min(size, left)), reverse=True):
-        k = min(left // s, counts[s])
+        k = min(left // s, counts[s] - (s == size))
         held, left = held + k * s, left - k * s
         if not left:
             break
     return held
 
 
+def _alike(counts: dict[int, int], size: int, capacity: int) -> int:
+    """How many containers to open at once: as many as items of this size fill, the last ones left to be decided anew."""
+    whole = counts[size] // (capacity // size)
+    return max(1, whole - (whole > 1))
+
+
 @lru_cache(maxsize=2)
 def token_counter(path: str, pattern: str = PATTERN) -> Callable[[list[str]], list[int]]:
     """Counts the tokens of texts; loaded once per worker. Special tokens in a text count as ordinary text."""
@@ -143,31 +162,29 @@ def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY, permitted: Sequen
     placements, containers = plan_containers(counts, permitted, cost)
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("size", "salt").orderBy(key, "part")) - 1)
     ranked = ranked.join(groups.drop("n"), ["size", "salt"], "left").withColumn("rank", F.col("rn") + F.col("ahead"))
-    where = spark.createDataFrame(placements, PLACEMENTS)
-    ends = spark.createDataFrame(containers, "low bigint, many bigint, used bigint, container_capacity int").select("low", (F.col("low") + F.col("many")).alias("high"), "container_capacity")
+    where = spark.createDataFrame(with_capacities(placements, containers), PLACEMENTS)
     placed = ranked.join(
         F.broadcast(where.withColumnRenamed("size", "s")),
         (F.col("size") == F.col("s")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")),
         "left",
     ).withColumn("container", F.col("first_container") + F.col("rank") - F.col("first_rank"))
-    # Capacity by container: a range lookup in at most a few thousand ranges, cut into equal strides for an equi-join.
-    placed = placed.select(key, "part", (F.col("part").cast("bigint") * capacity).alias("first_token"), F.col("size").alias("tokens"), "container")
-    return _with_capacity(placed, ends)
-
-
-def _with_capacity(placed: DataFrame, ends: DataFrame) -> DataFrame:
-    """Capacity of each container, from the ranges of equal containers: the last range that starts at or before it."""
-    ranges = [(r.low, r.container_capacity) for r in ends.orderBy("low").collect()]
-    starts, caps = [r[0] for r in ranges], [r[1] for r in ranges]
-    if not starts:
-        return placed.withColumn("container_capacity", F.lit(None).cast("int"))
-
-    @F.pandas_udf("int")
-    def capacity_of(c):
-        import numpy as np
-        import pandas as pd
-
-        at = np.searchsorted(np.array(starts), c.fillna(-1).to_numpy(), side="right") - 1
-        return pd.Series(np.where(at >= 0, np.array(caps)[np.maximum(at, 0)], None)).astype("Int32")
-
-    return placed.withColumn("container_capacity", capacity_of("container"))
+    return placed.select(key, "part", (F.col("part").cast("bigint") * capacity).alias("first_token"), F.col("size").alias("tokens"), "container", "container_capacity")
+
+
+def with_capacities(placements: list[tuple], containers: list[tuple]) -> list[tuple]:
+    """Placements cut where the final capacity of their containers changes, with that capacity."""
+    starts, out = [c[0] for c in containers], []
+    for size, rank, n, first in placements:
+        at, end = bisect.bisect_right(starts, first) - 1, first + n
+        while first < end:
+            low, many, _, cap = containers[at]
+            k = min(end, low + many) - first
+            out.append((size, rank, k, first, cap))
+            first, rank, at = first + k, rank + k, at + 1
+    return out
+
+
+def lengths_used(packed: DataFrame) -> DataFrame:
+    """(container_capacity, containers, tokens, capacity_tokens) of packed rows: what is filled, and what is paid for."""
+    each = packed.where("container IS NOT NULL").groupBy("container", "container_capacity").agg(F.sum("tokens").alias("tokens"))
+    return each.groupBy("container_capacity").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum(F.col("container_capacity").cast("bigint")).alias("capacity_tokens"))
