@@ -1,5 +1,7 @@
 """Structures of text in mixed mark-up."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,28 @@ def test_only_the_latest_row_counts(spark):
     df = spark.createDataFrame(rows, "page_id int, host string, text string, at int")
     got = {(r.page_id, r.content) for r in structures(df, "page_id", "host", "text", "at").collect()}
     assert got == {(1, "new"), (3, "b"), (4, "only")}
+
+
+WORDS = ["alpha", "beta 2", "max_size", "the index", "A & B", "a < b", "50 %", "naïve", "x-ray", "(see note)", "C:", "日本語"]
+
+
+def written(dialect, kind, text, n):
+    """One structure in a dialect, as its writers write it."""
+    esc = text.replace("&", "&amp;").replace("<", "&lt;") if dialect == "html" else text.replace("&", "\\&").replace("%", "\\%").replace("_", "\\_") if dialect == "tex" else text
+    raw = text.replace("&", "&amp;").replace("<", "&lt;") if dialect == "html" else text
+    forms = {
+        "html": {H: f"<h{n}>{esc}</h{n}>", L: f"<ul><li>{esc}</li></ul>", C: f"<pre><code>{raw}</code></pre>", M: f"<p>so \\({raw}\\) holds</p>", None: f"<p>{esc} <b>bold</b></p>"},
+        "markdown": {H: f"{'#' * n} {esc}", L: f"{'-*+'[n % 3]} {esc}", C: f"```\n{raw}\n```", M: f"so \\({raw}\\) holds", None: f"{esc} **bold**"},
+        "wiki": {H: f"h{n}. {esc}", L: f"* {esc}", C: f"{{code}}\n{raw}\n{{code}}", M: f"so \\({raw}\\) holds", None: f"{esc} {{{{mono}}}}"},
+        "tex": {H: f"\\section{{{esc}}}", L: f"\\begin{{itemize}}\n\\item {esc}\n\\end{{itemize}}", C: f"\\begin{{verbatim}}\n{raw}\n\\end{{verbatim}}", M: f"\\begin{{equation}}\n{raw}\n\\end{{equation}}", None: f"{esc} \\textbf{{bold}}"},
+    }
+    return forms[dialect][kind]
+
+
+@pytest.mark.parametrize("dialect", ["html", "markdown", "wiki", "tex"])
+@pytest.mark.parametrize("seed", range(15))
+def test_what_is_written_is_read(dialect, seed):
+    rng = random.Random(seed)
+    plan = [(rng.choice([H, L, C, M, None]), " ".join(rng.sample(WORDS, rng.randint(1, 4)))) for _ in range(12)]
+    text = "\n\n".join(written(dialect, k, t, rng.randint(1, 6)) for k, t in plan)
+    assert sorted(parse_markup(text, dialect == "wiki")) == sorted((k, t) for k, t in plan if k)

@@ -11,6 +11,7 @@ same form. Letter, accent, case, digit, punctuation and line breaks are kept.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -82,6 +83,13 @@ def _plain_forms() -> dict[int, str]:
 
 
 _PLAIN = _plain_forms()
+# Two classes: one that the library looks up in a table, and all characters beyond the first plane.
+_HAS_PLAIN = re.compile("[" + "".join(re.escape(chr(cp)) for cp in _PLAIN if cp < 0x10000) + "]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _plain_form(m: re.Match) -> str:
+    return _PLAIN.get(ord(m[0]), m[0])
 
 
 @lru_cache(maxsize=65536)
@@ -120,24 +128,26 @@ def _settle(text: str, main: str | None) -> str:
                     whole[s] += n
         main = max(_SCRIPTS, key=lambda s: (whole[s], -_SCRIPTS.index(s)))
 
-    def spell(m) -> str:
-        token = m[0]
-        if _CHEROKEE.search(token):
-            if any(_CHEROKEE.match(c) and c not in _FROM_CHEROKEE for c in token):
-                return "".join(_TO_CHEROKEE.get(c, c) for c in token)
-            token = "".join(_FROM_CHEROKEE.get(c, c) for c in token)
-        if not any(c in _AMBIGUOUS for c in token):
-            return token
-        common = frozenset.intersection(*[s for c in token if (s := script_set(c))])
-        if len(common) == 1:
-            return _spell(token, next(iter(common)))
-        if common:  # every letter has a twin: whole-script confusable
-            rare = main in RARE and any(_TO_LATIN.get(c, c) in RARE[main] for c in token)
-            return _spell(token, main if main in common and not rare else min(common, key=_SCRIPTS.index))
-        decided = _decided(token)  # mixed scripts beyond look-alikes
-        return _spell(token, max(_SCRIPTS, key=lambda s: (decided[s], -_SCRIPTS.index(s))))
-
-    return _TOKEN.sub(spell, text)
+    return _TOKEN.sub(lambda m: settled(m[0], main), text)
+
+
+@lru_cache(maxsize=262_144)
+def settled(token: str, main: str) -> str:
+    """A token in one script, within a text that is mainly in ``main``."""
+    if _CHEROKEE.search(token):
+        if any(_CHEROKEE.match(c) and c not in _FROM_CHEROKEE for c in token):
+            return "".join(_TO_CHEROKEE.get(c, c) for c in token)
+        token = "".join(_FROM_CHEROKEE.get(c, c) for c in token)
+    if _AMBIGUOUS.isdisjoint(token):
+        return token
+    common = frozenset.intersection(*[s for c in token if (s := script_set(c))])
+    if len(common) == 1:
+        return _spell(token, next(iter(common)))
+    if common:  # every letter has a twin: whole-script confusable
+        rare = main in RARE and any(_TO_LATIN.get(c, c) in RARE[main] for c in token)
+        return _spell(token, main if main in common and not rare else min(common, key=_SCRIPTS.index))
+    decided = _decided(token)  # mixed scripts beyond look-alikes
+    return _spell(token, max(_SCRIPTS, key=lambda s: (decided[s], -_SCRIPTS.index(s))))
 
 
 def canonical_text(text: str | None, main: str | None = None) -> str | None:
@@ -147,7 +157,9 @@ def canonical_text(text: str | None, main: str | None = None) -> str | None:
     """
     if text is None or text.isascii():
         return text
-    text = _INVISIBLE.sub("", text).translate(_PLAIN)
+    text = _HAS_PLAIN.sub(_plain_form, _INVISIBLE.sub("", text))
+    if not text.isascii() and _BEYOND.search(text):
+        text = _BEYOND.sub(_plain_form, text)
     if _FOREIGN.search(text):
         text = _settle(unicodedata.normalize("NFD", text), main)
     return unicodedata.normalize("NFC", text)

@@ -68,12 +68,13 @@ class Index:
     def __init__(self, items: list[tuple], seed: int):
         self.seed = seed
         self.ids = [i for i, _ in items]
+        texts = [words(text) for _, text in items]
         self.number: dict[str, int] = {}
-        for _, text in items:
-            for w in words(text):
-                if w not in self.number:
-                    self.number[w] = word_hash(w)
-        self.rows = [np.array([self.number[w] for w in words(text)], dtype=np.uint64) for _, text in items]
+        for found in texts:
+            for w in found:
+                self.number.setdefault(w, len(self.number) + 1)
+        self.hash = np.array([0, *map(word_hash, self.number)], dtype=np.uint64)
+        self.rows = [self.numbers(found) for found in texts]
         hashes = [running(row, seed) for row in self.rows]
         at = np.concatenate([np.empty(0, np.uint64), *hashes])
         order = np.argsort(at, kind="stable")
@@ -84,16 +85,21 @@ class Index:
     def numbers(self, found: list[str]) -> np.ndarray:
         """Words of a document as numbers, 0 for those that no item has."""
         known = self.number
-        return np.array([known.get(w, 0) for w in found], dtype=np.uint64)
+        return self.hash[np.array([known.get(w, 0) for w in found], dtype=np.int64)]
 
     def shared(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, diagonal, position in the document) of every seed that the document shares, in order."""
+        none = np.empty(0, np.int64)
         h = running(doc, self.seed)
-        low = np.searchsorted(self.known, h, "left")
-        n = np.searchsorted(self.known, h, "right") - low if len(self.known) else np.zeros(len(h), dtype=np.int64)
-        at = np.nonzero(n)[0]
-        many = n[at]
-        where = np.repeat(low[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else np.empty(0, np.int64)
+        if not len(h) or not len(self.known):
+            return none, none, none
+        low = np.searchsorted(self.known, h)
+        at = np.flatnonzero(self.known[np.minimum(low, len(self.known) - 1)] == h)
+        if not len(at):
+            return none, none, none
+        low = low[at]
+        many = np.searchsorted(self.known, h[at], "right") - low
+        where = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
         pos = np.repeat(at, many)
         item, diagonal = self.item[where], pos - self.place[where]
         order = np.lexsort((pos, diagonal, item))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wikiloom.functions.text import to_id
 from wikiloom.llm import canonical, chunking, leakage, markup, packing
+from wikiloom.session import materialize
 from wikiloom.sources.tables import last_value, read_table
 
 
@@ -38,6 +39,18 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return current(rows, cut.select("at.*", "piece", "start", "overlap", "forced", "text")).distinct()
 
 
+def p2_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Round trip of the pieces: their own parts put together, how many are over the limit, and how many do not begin with
+    the end of the piece before."""
+    cut = p2_pieces(spark, folder)
+    own = F.struct("piece", F.expr("substring(text, overlap + 1)").alias("own"), F.expr("substring(text, 1, overlap)").alias("again"), "text")
+    each = cut.groupBy("page_id").agg(F.array_sort(F.collect_list(own)).alias("p"))
+    broken = F.size(F.filter("p", lambda x: (x["piece"] > 0) & ~F.endswith(F.try_element_at("p", x["piece"])["text"], x["again"])))
+    return each.select(
+        "page_id", F.array_join(F.transform("p", lambda x: x["own"]), "").alias("text"), F.size(F.filter("p", lambda x: F.length(x["text"]) > chunking.LIMIT)).alias("over"), broken.alias("broken")
+    )
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.structures(last_rows(spark, folder), "page_id", "host", "text", "crawled_at")
 
@@ -57,6 +70,21 @@ def p7_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return packing.lengths_used(packing.pack(_sizes(spark, folder), "doc_id", cost=packing.attention))
 
 
+def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What every packing keeps to: all texts are there with all their tokens, no container holds more than its length, and
+    only a text over the capacity is split."""
+    sizes = materialize(_sizes(spark, folder))
+    packed = materialize(packing.pack(sizes, "doc_id"))
+    again = packed.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("parts"))
+    both = sizes.join(again, "doc_id", "left")
+    over = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("held"), F.max("container_capacity").alias("cap")).where("held > cap")
+    wrong = both.agg(
+        F.count("*").alias("texts"), F.count_if(~F.col("tokens").eqNullSafe(F.col("placed"))).alias("lost"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= packing.CAPACITY)).alias("split")
+    )
+    rows = wrong.unionByName(over.agg(F.count("*").alias("overfull")), allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def _leaks(spark: SparkSession, folder: str, least: float) -> DataFrame:
     return leakage.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"), least=least)
 
@@ -82,7 +110,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p7_containers, p7_lengths, p8_found, p8_coverage, p8_items, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_joined, p4_found, p7_containers, p7_lengths, p7_whole, p8_found, p8_coverage, p8_items, p9_found)}
 
 _LAST = """SELECT TRY_CAST(trim(id) AS BIGINT) AS page_id, storage_format_sample AS t FROM page_records
   WHERE run_id = (SELECT max(run_id) FROM page_records)
@@ -159,6 +187,8 @@ SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.form =
 
 
 SQL = {
+    "p2_joined": f"SELECT page_id, t AS text, 0 AS over, 0 AS broken FROM ({_LAST}) WHERE t IS NOT NULL",
+    "p7_whole": "SELECT count(*) AS texts, 0 AS lost, 0 AS split, 0 AS overfull FROM documents",
     "p8_found": f"WITH {_p8_words()}, {_P8_EXACT} SELECT doc_id, item_id FROM exact",
     "p8_coverage": f"WITH RECURSIVE {_p8_words()}, {_P8_TILES} SELECT doc_id, item_id, tiles, longest, round(coverage, 6) AS coverage FROM covered WHERE coverage >= 0.3",
     "p8_items": f"""WITH RECURSIVE {_p8_words()}, {_P8_EXACT}, {_P8_TILES},
