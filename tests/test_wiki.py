@@ -145,7 +145,7 @@ def test_comments(spark):
     assert [r.comment_id for r in ordered.where("page_id = 1").orderBy("position").collect()] == ["p1", "c1", "c2", "p2", "x", "y"]
     users = comments.users(spark.createDataFrame([("a1", " ", "Ann"), ("a2", "Bob ", None)], "account_id string, display_name string, public_name string"))
     named = comments.with_author(ordered, users, "author_id", "author")
-    text = {r.page_id: r.markdown for r in comments.comments_markdown(comments.comment_blocks(named)).collect()}
+    text = {r.page_id: r.markdown for r in comments.comments_markdown(comments.comment_blocks(named, df.select("comment_id", comments.comment_text("body").alias("text")))).collect()}
     assert text[1].startswith("## Comments\n\nAnn\n13 February 2026\nRoot\n\n\nBob\n13 February 2026\n(empty comment)\n\nUnknown Author\n13 February 2026\nplain\n\n(edited)\n\nAnn\nunknown\n(empty comment)")
     assert text[2] == "## Comments\n\nAnn\n13 February 2026\nother page"
 

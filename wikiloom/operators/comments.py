@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from wikiloom.functions.text import blank_to_null, strip_white
+from wikiloom.functions.text import blank_to_null, col, strip_white
 from wikiloom.operators.hierarchy import resolve_hierarchy
 from wikiloom.operators.ranking import rank_within
 from wikiloom.operators.render import extensions, registered, try_render
-from wikiloom.operators.snapshots import latest_rows
+from wikiloom.operators.snapshots import LOCATOR, current_rows, latest_rows
 
 
-def current_comments(api_comments: DataFrame, body: bool = True) -> DataFrame:
-    """The row of each comment that was updated last, ids stripped; without ``body`` texts are neither read nor shuffled."""
-    texts = ["body"] if body else []
-    rows = api_comments.select(
-        blank_to_null("comment_id").alias("comment_id"), "page_id", blank_to_null("parent_id").alias("parent_id"), strip_white("author_id").alias("author_id"), "created_at", "updated_at", *texts
-    ).where("comment_id IS NOT NULL")
-    return latest_rows(rows, ["comment_id"], [F.col("updated_at")], ["page_id", "parent_id", "author_id", "created_at", "updated_at", *texts])
+def current_comments(api_comments: DataFrame, **made: Column) -> DataFrame:
+    """The row of each comment that was updated last, ids stripped, with what ``made`` takes from its body (where it is
+    read); bodies themselves are not part of it. Where rows know their place only that is compared."""
+    plain = {"comment_id": blank_to_null("comment_id"), "page_id": F.col("page_id"), "parent_id": blank_to_null("parent_id"), "author_id": strip_white("author_id"), "created_at": F.col("created_at"), "updated_at": F.col("updated_at")}
+    columns = {**plain, **made}
+    located = set(LOCATOR) <= set(api_comments.columns)
+    rows = api_comments.select(*[c.alias(n) for n, c in columns.items()], *(LOCATOR if located else ())).where("comment_id IS NOT NULL")
+    if located:
+        keys = api_comments.select(blank_to_null("comment_id").alias("comment_id"), "updated_at", *LOCATOR).where("comment_id IS NOT NULL")
+        return current_rows(keys, ["comment_id"], [F.col("updated_at")], rows)
+    return latest_rows(rows, ["comment_id"], [F.col("updated_at")], [c for c in columns if c != "comment_id"])
 
 
 def users(api_users: DataFrame) -> DataFrame:
@@ -49,20 +53,16 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
     return rank_within(keyed, "page_id", ["stray", "key", F.col("created_at").asc_nulls_last(), "comment_id"], "position").drop("key", "stray")
 
 
-def comment_blocks(ordered: DataFrame) -> DataFrame:
-    """(page_id, position, block): one comment as Markdown, ready to be joined."""
+def comment_text(body: Column | str) -> Column:
+    """Markdown of a comment's body; its plain text where it is no document."""
     blocks, cells = extensions()
 
     @F.pandas_udf("string")
-    def body_text(s: pd.Series) -> pd.Series:
+    def run(s: pd.Series) -> pd.Series:
         with registered(blocks, cells):
             return pd.Series([_body(x) for x in s], dtype=object)
 
-    author = F.coalesce(blank_to_null("author"), blank_to_null("author_id"), F.lit("Unknown Author"))
-    day = F.coalesce(F.date_format("created_at", "d MMMM yyyy"), F.lit("unknown"))
-    edited = F.when(F.col("updated_at") > F.col("created_at"), F.lit("\n(edited)\n")).otherwise("")
-    block = F.concat(author, F.lit("\n"), day, F.lit("\n"), body_text("body"), F.lit("\n"), edited)
-    return ordered.select("page_id", "position", block.alias("block"))
+    return run(col(body))
 
 
 def _body(text: str | None) -> str:
@@ -70,7 +70,26 @@ def _body(text: str | None) -> str:
     return (try_render(plain) or plain) if plain else "(empty comment)"
 
 
+def comment_blocks(ordered: DataFrame, texts: DataFrame) -> DataFrame:
+    """(page_id, position, block): one comment as Markdown, ready to be joined. ``texts`` has (comment_id, text): comments
+    are put in order without their texts, which join them last."""
+    author = F.coalesce(blank_to_null("author"), blank_to_null("author_id"), F.lit("Unknown Author"))
+    day = F.coalesce(F.date_format("created_at", "d MMMM yyyy"), F.lit("unknown"))
+    edited = F.when(F.col("updated_at") > F.col("created_at"), F.lit("\n(edited)\n")).otherwise("")
+    block = F.concat(author, F.lit("\n"), day, F.lit("\n"), "text", F.lit("\n"), edited)
+    return ordered.join(texts.select("comment_id", "text"), "comment_id").select("page_id", "position", block.alias("block"))
+
+
+#: Comments that are joined to one part before the parts of a page are.
+PART = 1_000
+
+
 def comments_markdown(blocks: DataFrame) -> DataFrame:
-    """(page_id, markdown): the comments section of each page. A page's own section is one text, as in the output."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), "\n")
-    return blocks.groupBy("page_id").agg(strip_white(F.concat(F.lit("## Comments\n\n"), joined)).alias("markdown"))
+    """(page_id, markdown): the comments section of each page.
+
+    Parts of PART comments are joined first, each where it falls, so a page with a third of all comments is spread over
+    many tasks until only its parts are left. The section itself is one text, as in the output.
+    """
+    joined = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
+    parts = blocks.groupBy("page_id", F.floor((F.col("position") - 1) / PART).alias("part")).agg(joined("position", "block").alias("text"))
+    return parts.groupBy("page_id").agg(strip_white(F.concat(F.lit("## Comments\n\n"), joined("part", "text"))).alias("markdown"))

@@ -88,11 +88,12 @@ def all_edges(linked: DataFrame, parents: DataFrame, comments: DataFrame, relate
     """(src, dst, at): links of the body, then of comments, then children, then query hits; the first place counts.
 
     ``at`` orders the links of a page: origin, place within it, and for query hits the macro before the place of the hit,
-    however many hits there are. linked(page_id, targets, children, queries), parents(page_id, parent_id).
+    however many hits there are. linked(page_id, targets, children, queries), parents(page_id, parent_id),
+    comments(page_id, targets).
     """
     at = lambda origin, place, hit=F.lit(0): F.struct(F.lit(origin).alias("origin"), place.cast("bigint").alias("place"), hit.cast("bigint").alias("hit")).alias("at")
     body = links.edges(linked, "page_id", "targets", host).select("src", "dst", at(1, F.col("pos")))
-    talk = links.edges(comments.select("page_id", links.targets_in("body").alias("targets")), "page_id", "targets", host).select("src", "dst", at(2, F.col("pos")))
+    talk = links.edges(comments, "page_id", "targets", host).select("src", "dst", at(2, F.col("pos")))
     kids = parents.select(F.col("page_id").alias("dst"), urls.whole_number(strip_white("parent_id")).alias("src"))
     listing = linked if follow_children else linked.where("children")
     kids = kids.join(listing.select(F.col("page_id").alias("src")), "src", "left_semi").select("src", "dst", at(3, F.lit(0), F.col("dst")))
@@ -129,9 +130,10 @@ def render_pages(pages: DataFrame, linked: DataFrame, inputs: Inputs, comments:
     body = links.enrich_labels(body, "page_id", "markdown", titles)
     if files is not None:
         body = links.rewrite_attachments(body, "page_id", "markdown", files)
-    ordered = com.ordered_comments(comments)
+    ordered = com.ordered_comments(comments.drop("targets"))
     named = com.with_author(ordered, com.users(inputs.api_users), "author_id", "author")
-    talk = com.comments_markdown(com.comment_blocks(named)).withColumnRenamed("markdown", "talk")
+    texts = com.current_comments(inputs.api_comments.join(pages.select("page_id"), "page_id", "left_semi"), text=com.comment_text("body"))
+    talk = com.comments_markdown(com.comment_blocks(named, texts)).withColumnRenamed("markdown", "talk")
     joined = body.join(talk, "page_id", "left").join(text.select("page_id", "error"), "page_id")
     tail = F.when(F.col("talk").isNotNull(), F.concat(F.lit("\n\n"), "talk")).otherwise("")
     return joined.select("page_id", F.concat(F.rtrim("markdown", F.lit("\n")), tail, F.lit("\n")).alias("markdown"), "error")
@@ -162,7 +164,7 @@ def run(
     rows = inputs.api_pages.where("page_id IS NOT NULL")
     plain = [c for c in rows.columns if c not in ("page_id", "adf")]
     pages = materialize(snapshots.latest_rows(rows.select("page_id", *plain), ["page_id"], [F.col("version.number")], plain))
-    comments = com.current_comments(inputs.api_comments)
+    comments = materialize(com.current_comments(inputs.api_comments, targets=links.targets_in("body")))
     files = att.clean_attachments(inputs.api_attachments)
     seeds = resolve_seeds(inputs, pages)
     state = pages.select("page_id", "status", strip_white("title").alias("title"), F.col("version.number").alias("version"))

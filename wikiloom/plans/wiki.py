@@ -186,14 +186,16 @@ def author_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comment_order(spark: SparkSession, folder: str) -> DataFrame:
-    found = com.ordered_comments(com.current_comments(read_table(spark, folder, "api_comments"), body=False))
+    found = com.ordered_comments(com.current_comments(read_located(spark, folder, "api_comments")))
     return found.select("page_id", "comment_id", "position", "depth")
 
 
 def comments_markdown(spark: SparkSession, folder: str) -> DataFrame:
     names = com.users(read_table(spark, folder, "api_users"))
-    ordered = com.ordered_comments(com.current_comments(read_table(spark, folder, "api_comments")))
-    return com.comments_markdown(com.comment_blocks(com.with_author(ordered, names, "author_id", "author")))
+    table = read_located(spark, folder, "api_comments")
+    ordered = com.ordered_comments(com.current_comments(table))
+    texts = com.current_comments(table, text=com.comment_text("body"))
+    return com.comments_markdown(com.comment_blocks(com.with_author(ordered, names, "author_id", "author"), texts))
 
 
 def rendered_pages(spark: SparkSession, folder: str) -> DataFrame:
