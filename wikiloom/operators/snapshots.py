@@ -43,11 +43,11 @@ def current_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """``found``, or else ``rows``, without all rows that are not the current one of their key.
 
     ``found`` holds what was extracted from ``rows`` in place, with its LOCATOR: extracting first keeps bodies out of
-    every exchange. Only places are aggregated; the side of places is a row of two numbers per key, which Spark
-    broadcasts if it knows it to be small and else shuffles.
+    every exchange. Only places are aggregated. A row of two numbers per key is hashed partition by partition, so neither
+    side is sorted and nothing is broadcast.
     """
     everything = rows if found is None else found
-    return everything.join(chosen_places(rows, keys, order), list(LOCATOR), "left_semi").drop(*LOCATOR)
+    return everything.join(chosen_places(rows, keys, order).hint("shuffle_hash"), list(LOCATOR), "left_semi").drop(*LOCATOR)
 
 
 def snapshot_order(df: DataFrame, snapshot: str) -> DataFrame:

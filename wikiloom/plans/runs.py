@@ -63,7 +63,7 @@ def run_records(spark: SparkSession, folder: str) -> DataFrame:
     found = pipeline.run(_inputs(spark, folder), BASE, NOW, "updates", MAX_DEPTH)
     return found.records.select(
         "id", "title", "version", "depth", F.array_join("outgoing_links", ",").alias("outgoing"), F.array_join("incoming_links", ",").alias("incoming"),
-        F.array_join("attachments", ",").alias("attachments"), "attachment_signature", "comment_count", (F.col("crawled_at") == F.lit(NOW)).alias("fresh"),
+        F.coalesce(F.array_join("attachments", ","), F.lit("")).alias("attachments"), "attachment_signature", "comment_count", (F.col("crawled_at") == F.lit(NOW)).alias("fresh"),
     )
 
 
@@ -142,9 +142,9 @@ placed AS (
   UNION ALL SELECT page_id, dst, 2, min(pos), 0 FROM (SELECT page_id, {_DST} AS dst, pos FROM said WHERE target LIKE '/%' OR starts_with(lower(target), 'https://{HOST}/')) WHERE dst > 0 GROUP BY ALL
   UNION ALL SELECT k.src, k.page_id, 3, 0, k.page_id FROM (SELECT page_id, TRY_CAST(nullif(trim(parent_id), '') AS BIGINT) AS src FROM pages) k JOIN pages p ON p.page_id = k.src AND regexp_matches(p.adf, '"extensionKey": ?"children"')
   UNION ALL SELECT a.page_id, h.page_id, 4, a.macro, h.pos FROM asked a JOIN hits h USING (cql)),
-firsts AS (SELECT src, dst, min({{'o': origin, 'a': a, 'b': b}}) AS at FROM placed GROUP BY ALL)"""
+firsts AS (SELECT src, dst, min({{'o': origin, 'a': a, 'b': b}}) AS spot FROM placed GROUP BY ALL)"""
 _RUN = f"""{_ORIGINS}, {_LAST}, {_ATT}, {_SIG}, {_KINDS.split(_SIG + ',')[1].strip()},
-graph AS (SELECT src, dst, at FROM firsts WHERE src NOT IN (SELECT page_id FROM kinds WHERE kind = 'clean')
+graph AS (SELECT src, dst, spot FROM firsts WHERE src NOT IN (SELECT page_id FROM kinds WHERE kind = 'clean')
   UNION ALL SELECT CAST(id AS BIGINT), dst, {{'o': 1, 'a': min(pos), 'b': 0}} FROM (SELECT id, TRY_CAST(trim(x) AS BIGINT) AS dst, pos FROM (SELECT id, unnest(outgoing_links) AS x, generate_subscripts(outgoing_links, 1) AS pos FROM last))
     WHERE dst > 0 AND CAST(id AS BIGINT) IN (SELECT page_id FROM kinds WHERE kind = 'clean') GROUP BY id, dst),
 walks(page_id, depth) AS (
@@ -154,7 +154,7 @@ told AS (SELECT w.page_id, min(w.depth) AS depth, any_value(CASE WHEN p.page_id
 docs AS (SELECT CAST(page_id AS VARCHAR) AS k, adf FROM pages WHERE page_id IN (SELECT page_id FROM told WHERE kind = 'dirty')),
 {render_sql.markdown_ctes('docs')},
 gone AS (SELECT page_id FROM told WHERE kind = 'deleted'),
-new_links AS (SELECT src, string_agg(dst, ',' ORDER BY at) AS outgoing FROM graph WHERE dst NOT IN (SELECT page_id FROM gone) GROUP BY 1),
+new_links AS (SELECT src, string_agg(dst, ',' ORDER BY spot) AS outgoing FROM graph WHERE dst NOT IN (SELECT page_id FROM gone) GROUP BY 1),
 kept_links AS (SELECT id, string_agg(x, ',' ORDER BY pos) AS outgoing FROM (SELECT id, unnest(outgoing_links) AS x, generate_subscripts(outgoing_links, 1) AS pos FROM last) WHERE x NOT IN (SELECT CAST(page_id AS VARCHAR) FROM gone) GROUP BY 1),
 files AS (SELECT page_id, string_agg(DISTINCT 'attachments/' || {_NAMED}, ',' ORDER BY 'attachments/' || {_NAMED}) AS attachments FROM att WHERE attachment_id <> '' GROUP BY 1),
 spoken AS (SELECT page_id, count(*) AS n FROM talk GROUP BY 1),
@@ -182,7 +182,7 @@ SELECT count(*) AS total, count(*) FILTER (kind = 'deleted') AS deleted, count(*
   count(*) FILTER (fresh AND comment_count > 0) AS pages_with_comments, CAST(coalesce(sum(comment_count) FILTER (fresh), 0) AS BIGINT) AS comments, CAST(0 AS BIGINT) AS comments_failed,
   CAST(coalesce(sum(files) FILTER (fresh), 0) AS BIGINT) AS attachments_stored, CAST(coalesce(sum(files) FILTER (kind = 'clean'), 0) AS BIGINT) AS attachments_kept,
   (SELECT count(*) FROM outcomes WHERE lo = 2) AS files_added, (SELECT count(*) FROM outcomes WHERE lo = 1 AND hi = 2) AS files_updated, (SELECT count(*) FROM outcomes WHERE hi = 1) AS files_deleted FROM n""",
-    "link_origins": f"WITH {_ORIGINS} SELECT src, string_agg(dst, ',' ORDER BY at) AS links, max(at.o) AS last_origin FROM firsts GROUP BY 1",
+    "link_origins": f"WITH {_ORIGINS} SELECT src, string_agg(dst, ',' ORDER BY spot) AS links, max(spot.o) AS last_origin FROM firsts GROUP BY 1",
     "related_pages": f"""WITH {_PAGES}, {_HITS}, lines AS (SELECT a.page_id, a.macro, h.pos, '- [' || coalesce(nullif({_strip('p.title')}, ''), CAST(h.page_id AS VARCHAR)) || '](https://{HOST}/wiki/pages/viewpage.action?pageId=' || h.page_id || ')' || chr(10) AS line
   FROM asked a LEFT JOIN hits h USING (cql) LEFT JOIN pages p ON p.page_id = h.page_id),
 sections AS (SELECT page_id, macro, chr(10) || chr(10) || '## Related pages' || chr(10) || chr(10) || coalesce(string_agg(line, '' ORDER BY pos), '') AS s FROM lines GROUP BY ALL)
