@@ -118,8 +118,10 @@ def test_a_run_that_fails_while_it_writes_leaves_the_checkpoints(spark, tmp_path
 
 def test_kept_pages_lose_links_to_deleted_ones(spark, full):
     later = [*WIKI[:3], page(4, adf(), status="trashed"), *WIKI[4:]]
-    second = pipeline.run(inputs(spark, later, full.records), BASE, datetime(2026, 2, 1), mode="updates")
+    before = full.records.withColumn("local_path", F.when(F.col("id") != "2", F.col("local_path")).otherwise(" "))
+    second = pipeline.run(inputs(spark, later, before), BASE, datetime(2026, 2, 1), mode="updates")
     got = {r.id: r for r in second.records.collect()}
+    assert got["2"].local_path == "page-2_2.md"
     assert set(got) == {"1", "2"} and got["1"].outgoing_links == ["2"] and got["1"].crawled_at == NOW
     assert {r.page_id: (r.kind, r.title) for r in second.classified.collect()}[4] == ("deleted", "Page 4")
     assert second.metrics["failed"] == 1 and second.metrics["attachments_kept"] == 1 and second.metrics["comments"] == 0

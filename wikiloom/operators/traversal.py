@@ -16,7 +16,11 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 class FrontierTooLarge(RuntimeError):
-    """A level has more pages than the traversal was allowed to queue."""
+    """A level has more pages than the traversal was allowed to queue; ``sample`` has the first 20 of them."""
+
+    def __init__(self, depth: int, size: int, sample: list[int]):
+        self.depth, self.size, self.sample = depth, size, sample
+        super().__init__(f"crawl queue saturated: {size} pages at depth {depth}, among them {sample}")
 
 
 def page_handler(pages: DataFrame) -> Handler:
@@ -50,7 +54,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int, handler: Handle
             break
         if max_frontier is not None and size > max_frontier:
             sample = [r[0] for r in level.orderBy("page_id").select("page_id").limit(20).collect()]
-            raise FrontierTooLarge(f"crawl queue saturated: {size} pages at depth {depth}, among them {sample}")
+            raise FrontierTooLarge(depth, size, sample)
         reached = reached.unionByName(level)
     return reached
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wikiloom.functions import urls
 from wikiloom.functions.files import managed_path, page_filename
@@ -235,14 +235,17 @@ def _with_kept_links(edges: DataFrame, kinds: DataFrame, previous: DataFrame) ->
     return edges.join(clean, "src", "left_anti").unionByName(before.join(clean, "src", "left_semi").select("src", "dst", at))
 
 
-def _fresh_records(dirty: DataFrame, text: DataFrame, inputs: Inputs, comments: DataFrame, results: DataFrame | None, outgoing: DataFrame, now: datetime) -> DataFrame:
-    """Records of rendered pages; a page whose text is broken is left out here and keeps its previous record."""
-    names = com.users(inputs.api_users)
-
+def _page_path(title: str, key: Column | str) -> Column:
     @F.pandas_udf("string")
     def path(title: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series([page_filename(t or "", k) for t, k in zip(title, key, strict=True)], dtype=object)
 
+    return path(title, key)
+
+
+def _fresh_records(dirty: DataFrame, text: DataFrame, inputs: Inputs, comments: DataFrame, results: DataFrame | None, outgoing: DataFrame, now: datetime) -> DataFrame:
+    """Records of rendered pages; a page whose text is broken is left out here and keeps its previous record."""
+    names = com.users(inputs.api_users)
     counts = comments.groupBy("page_id").agg(F.count("*").cast("int").alias("comment_count"))
     rows = dirty.join(text.where("error IS NULL"), "page_id").withColumns({"created_by_id": strip_white("author_id"), "last_modified_by_id": strip_white("version.author_id")})
     rows = com.with_author(com.with_author(rows, names, "created_by_id", "created_by_name"), names, "last_modified_by_id", "last_modified_by_name")
@@ -256,7 +259,7 @@ def _fresh_records(dirty: DataFrame, text: DataFrame, inputs: Inputs, comments:
     return rows.select(
         F.col("page_id").cast("string").alias("id"),
         "title",
-        path("title", F.col("page_id").cast("string")).alias("local_path"),
+        _page_path("title", F.col("page_id").cast("string")).alias("local_path"),
         F.col("version.number").alias("version"),
         F.lit(now).alias("crawled_at"),
         F.coalesce("comment_count", F.lit(0)).alias("comment_count"),
@@ -290,7 +293,9 @@ def _merge(fresh: DataFrame, classified: DataFrame, inputs: Inputs, deleted: Dat
     clean = records.carry_over(classified.select("page_id", "kind", "depth", "signature"), prev).where("error IS NULL")
     failed = classified.where("kind = 'dirty'").select(F.col("page_id").cast("string").alias("id"), F.col("depth").alias("new_depth"))
     failed = prev.join(failed, "id").join(fresh.select("id"), "id", "left_anti").withColumn("depth", F.col("new_depth"))
-    kept = materialize(clean.select(*columns).unionByName(failed.select(*columns)))
+    kept = clean.select(*columns).unionByName(failed.select(*columns))
+    named = F.when(F.coalesce(strip_white("local_path"), F.lit("")) == "", _page_path("title", "id")).otherwise(F.col("local_path"))
+    kept = materialize(kept.withColumn("local_path", named))
     pruned = links.without_deleted(kept.select("id", "outgoing_links"), "id", "outgoing_links", deleted)
     kept = kept.drop("outgoing_links").join(pruned.withColumnRenamed("outgoing", "outgoing_links"), "id")
     return materialize(fresh.unionByName(kept.select(*columns)))
@@ -298,7 +303,7 @@ def _merge(fresh: DataFrame, classified: DataFrame, inputs: Inputs, deleted: Dat
 
 def export(result: Result, inputs: Inputs, folder: str, run_id: int, advance: Callable[[], dict] | None = None, clear: bool = False) -> dict[str, int]:
     """Write pages with front matter, attachments, metadata, snapshot and start page, remove stale files; counts of files
-    by outcome.
+    by outcome, and of attachments of kept pages that are not there.
 
     ``folder`` is shared by all executors; with ``clear`` it is emptied first. A page whose text and path are those of its
     previous record is written only if its file is missing. Snapshot and checkpoints become current together, after all
@@ -324,6 +329,9 @@ def export(result: Result, inputs: Inputs, folder: str, run_id: int, advance: Ca
     snapshot = store.write_snapshot(result.records, folder, run_id)
     store.remove_files(result.artifacts.where("outcome = 'deleted'"), folder)
     counts = {r.outcome: r["count"] for r in result.artifacts.groupBy("outcome").count().collect()}
+    kept = result.classified.where("kind = 'clean'").select(F.col("page_id").cast("string").alias("id"))
+    kept = result.records.join(kept, "id", "left_semi").select(F.explode("attachments").alias("path"))
+    counts["missing"] = store.missing_files(kept, folder).count()
     checkpoints = advance() if advance else store.current(folder).get("checkpoints", {})
     store.commit(folder, run_id, snapshot, checkpoints)
     lines = [r.line for r in records.index_lines(result.records, seeds).orderBy("pos").collect()]

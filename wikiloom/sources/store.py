@@ -33,7 +33,9 @@ def filesystem(folder: str):
     """File system of a folder, and the folder's path on it."""
     from pyarrow import fs
 
-    if "://" in folder or folder.startswith("file:"):
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    if "://" in folder:
         return fs.FileSystem.from_uri(folder)
     return fs.LocalFileSystem(), os.path.abspath(folder)
 
@@ -97,7 +99,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def write_metadata(records: DataFrame, path: str) -> None:
     """Records as JSON lines (key, record), one file per task: a single document would not survive growth."""
-    records.select(F.col("id").alias("key"), F.struct(*records.columns).alias("record")).write.mode("overwrite").json(spark_path(path))
+    rows = records.select(F.col("id").alias("key"), F.struct(*records.columns).alias("record"))
+    rows.write.mode("overwrite").json(spark_path(path), timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
 def write_snapshot(records: DataFrame, folder: str, run_id: int) -> str:
