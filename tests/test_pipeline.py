@@ -131,9 +131,9 @@ def test_without_attachments(spark):
     off = pipeline.run(inputs(spark, WIKI), BASE, NOW, download_attachments=False)
     got = {r.id: r for r in off.records.collect()}
     assert got["1"].attachments == [] and got["1"].attachment_signature == "" and off.outcomes is None
-    again = pipeline.run(inputs(spark, WIKI, off.records), BASE, NOW, mode="updates", download_attachments=False)
+    again = pipeline.run(inputs(spark, WIKI, off.records), BASE, NOW, mode="updates", download_attachments=False, dry_run=True)
     assert {r.page_id: r.kind for r in again.classified.collect()}[1] == "clean"
-    assert {r.page_id: r.kind for r in pipeline.run(inputs(spark, WIKI, off.records), BASE, NOW, mode="updates").classified.collect()}[1] == "dirty"
+    assert {r.page_id: r.kind for r in pipeline.run(inputs(spark, WIKI, off.records), BASE, NOW, mode="updates", dry_run=True).classified.collect()}[1] == "dirty"
 
 
 def test_query_hits_keep_their_macro_however_many_they_are(spark):

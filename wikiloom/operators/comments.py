@@ -39,17 +39,20 @@ def with_author(df: DataFrame, names: DataFrame, account: str, name: str) -> Dat
 def ordered_comments(comments: DataFrame) -> DataFrame:
     """Comments with their position on the page: threads in pre-order, siblings by creation (NULL last), then id.
 
-    A comment whose parent is not on the page starts a thread; comments on or below a cycle come last. Paths come from
-    the distributed hierarchy; the sort key of a comment is the list of its ancestors' own keys, so that a sort by range
-    gives the order, and neither a thread nor a page has to fit into one task.
+    A comment whose parent is not on the page starts a thread; comments on or below a cycle come last. In the hierarchy a
+    comment goes by a label that sorts as it does among its siblings, so its path of labels is its sort key: a sort by
+    range gives the order, no ancestor is looked up, and neither a thread nor a page has to fit into one task.
     """
-    nodes = comments.select(F.col("page_id").cast("string").alias("scope"), F.col("comment_id").alias("id"), F.col("parent_id").alias("parent"))
-    trees = resolve_hierarchy(nodes, unique=True)
-    step = F.struct(F.col("created_at").isNull().alias("late"), F.col("created_at").alias("at"), F.col("comment_id").alias("id"))
-    own = comments.select(F.col("comment_id").alias("ancestor"), step.alias("step"))
-    ways = trees.where("state = 'tree'").select(F.col("id").alias("comment_id"), F.posexplode("path").alias("pos", "ancestor")).join(own, "ancestor")
-    keys = ways.groupBy("comment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))), lambda x: x["step"]).alias("key"))
-    keyed = comments.join(keys, "comment_id", "left").withColumns({"depth": F.size("key") - 1, "stray": F.col("key").isNull()})
+    late = F.when(F.col("created_at").isNull(), "1").otherwise("0")
+    micros = F.lpad((F.coalesce(F.unix_micros("created_at"), F.lit(0)) + F.lit(2**62)).cast("string"), 19, "0")
+    own = comments.select(F.col("page_id").alias("_page"), F.col("comment_id").alias("_id"), F.concat(late, micros, "comment_id").alias("_label"))
+    parents = own.select("_page", F.col("_id").alias("_parent"), F.col("_label").alias("_above"))
+    placed = comments.select("page_id", "comment_id", "parent_id", F.concat(late, micros, "comment_id").alias("label"))
+    nodes = placed.join(parents, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("parent_id") == F.col("_parent")), "left")
+    nodes = nodes.select(F.col("page_id").cast("string").alias("scope"), F.col("label").alias("id"), F.col("_above").alias("parent"))
+    trees = resolve_hierarchy(nodes, unique=True).where("state = 'tree'")
+    keys = trees.select(F.expr("substring(id, 21)").alias("comment_id"), F.col("path").alias("key"), "depth")
+    keyed = comments.join(keys, "comment_id", "left").withColumn("stray", F.col("key").isNull())
     return rank_within(keyed, "page_id", ["stray", "key", F.col("created_at").asc_nulls_last(), "comment_id"], "position").drop("key", "stray")
 
 

@@ -50,6 +50,17 @@ def current_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return everything.join(chosen_places(rows, keys, order).hint("shuffle_hash"), list(LOCATOR), "left_semi").drop(*LOCATOR)
 
 
+#: Ids up to which a set of them is broadcast: 16 bytes each in memory, thus at most some 32 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among ``ids``, which are counted first: a small set is broadcast, so that wide rows stay where
+    they are read; beyond BROADCAST_IDS both sides are shuffled. ``ids`` should be materialized."""
+    known = ids.select(key).distinct()
+    return rows.join(F.broadcast(known) if known.count() <= BROADCAST_IDS else known, key, "left_semi")
+
+
 def snapshot_order(df: DataFrame, snapshot: str) -> DataFrame:
     """(snapshot, ord): the snapshots that exist, numbered from 1. One row per snapshot, thus small."""
     ids = df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct()

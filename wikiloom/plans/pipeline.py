@@ -117,14 +117,14 @@ def related_sections(linked: DataFrame, related: DataFrame, titles: DataFrame, b
     return lists.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("macro", section.alias("s")))), lambda e: e["s"]), "").alias("related"))
 
 
-def render_pages(pages: DataFrame, linked: DataFrame, inputs: Inputs, comments: DataFrame, titles: DataFrame, files: DataFrame | None, base_url: str, origin: str) -> DataFrame:
-    """(page_id, markdown, error) of the pages given, up to and with their comments; without ``files`` links to
-    attachments stay as they are."""
+def render_pages(pages: DataFrame, ids: DataFrame, linked: DataFrame, inputs: Inputs, comments: DataFrame, titles: DataFrame, files: DataFrame | None, base_url: str, origin: str) -> DataFrame:
+    """(page_id, markdown, error) of the pages given, up to and with their comments; ``ids`` are theirs, materialized.
+    Without ``files`` links to attachments stay as they are."""
     text = pages.select("page_id", "title", render.rendered(F.col("adf")).alias("markdown"))
     text = text.withColumn("error", F.when(F.col("markdown").isNull(), "convert failed"))
     body = text.select("page_id", render.with_title(F.col("markdown"), F.coalesce("title", F.lit(""))).alias("markdown"))
     if inputs.related is not None:
-        sections = related_sections(linked.join(pages.select("page_id"), "page_id", "left_semi"), inputs.related, titles, base_url)
+        sections = related_sections(linked.join(ids.select("page_id"), "page_id", "left_semi"), inputs.related, titles, base_url)
         body = body.join(sections, "page_id", "left").select("page_id", F.concat("markdown", F.coalesce("related", F.lit(""))).alias("markdown"))
     body = body.select("page_id", links.absolutize("markdown", origin).alias("markdown"))
     body = links.enrich_labels(body, "page_id", "markdown", titles)
@@ -132,7 +132,7 @@ def render_pages(pages: DataFrame, linked: DataFrame, inputs: Inputs, comments:
         body = links.rewrite_attachments(body, "page_id", "markdown", files)
     ordered = com.ordered_comments(comments.drop("targets"))
     named = com.with_author(ordered, com.users(inputs.api_users), "author_id", "author")
-    texts = com.current_comments(inputs.api_comments.join(pages.select("page_id"), "page_id", "left_semi"), text=com.comment_text("body"))
+    texts = com.current_comments(snapshots.only_ids(inputs.api_comments, ids, "page_id"), text=com.comment_text("body"))
     talk = com.comments_markdown(com.comment_blocks(named, texts)).withColumnRenamed("markdown", "talk")
     joined = body.join(talk, "page_id", "left").join(text.select("page_id", "error"), "page_id")
     tail = F.when(F.col("talk").isNotNull(), F.concat(F.lit("\n\n"), "talk")).otherwise("")
@@ -202,13 +202,13 @@ def run(
     gone = materialize(classified.where("kind = 'deleted'").select(F.col("page_id").alias("dst")))
     out = edges.join(live, "src", "left_semi").join(gone, "dst", "left_anti")
     outgoing = out.groupBy("src").agg(links.ordered_ids(F.col("dst"), F.col("at")).alias("outgoing_links"))
-    ids = classified.where("kind = 'dirty'").select("page_id", "depth", "signature")
+    ids = materialize(classified.where("kind = 'dirty'").select("page_id", "depth", "signature"))
     # Bodies are read again for the pages that are rendered, and only theirs are shuffled.
-    bodies = rows.join(ids.select("page_id"), "page_id", "left_semi").select("page_id", F.col("version.number").alias("number"), "adf")
+    bodies = snapshots.only_ids(rows, ids, "page_id").select("page_id", F.col("version.number").alias("number"), "adf")
     dirty = pages.join(ids, "page_id").join(snapshots.latest_rows(bodies, ["page_id"], [F.col("number")], ["adf"]), "page_id")
     results = att.outcomes(files.join(ids.select("page_id"), "page_id", "left_semi"), max_attachment_mb) if download_attachments else None
     spoken = comments.join(ids.select("page_id"), "page_id", "left_semi")
-    text = materialize(render_pages(dirty, linked, inputs, spoken, pages.select("page_id", "title"), results, base_url, origin))
+    text = materialize(render_pages(dirty, ids, linked, inputs, spoken, pages.select("page_id", "title"), results, base_url, origin))
     fresh = materialize(_fresh_records(pages.join(ids, "page_id"), text, inputs, spoken, results, outgoing, now))
     merged = _merge(fresh, classified, inputs, gone.select("dst"))
     final, rewritten = materialize_rewritten(merged)

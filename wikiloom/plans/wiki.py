@@ -103,8 +103,11 @@ def _walk(spark: SparkSession, folder: str, edge_rows: DataFrame, pages: DataFra
 def crawl_stats(spark: SparkSession, folder: str) -> DataFrame:
     graph = _graph(spark, folder)
     reached = materialize(_walk(spark, folder, *graph))
-    external = links.external_counts(_targets(spark, folder), "page_id", "targets", HOST)
-    return traversal.crawl_stats(reached, graph[0], external)
+    # Bodies are looked into for the pages that were reached only; what is read of them are their links.
+    rows = read_located(spark, folder, "api_pages").where("page_id IS NOT NULL")
+    near = snapshots.only_ids(rows, reached.where("state = 'ok'"), "page_id")
+    found = snapshots.current_rows(rows, ["page_id"], [F.col("version.number")], near.select("page_id", *snapshots.LOCATOR, links.targets_in("adf").alias("targets")))
+    return traversal.crawl_stats(reached, graph[0], links.external_counts(found, "page_id", "targets", HOST))
 
 
 def depth_distribution(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ import os
 import posixpath
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wikiloom.functions.files import inside_folder
@@ -177,7 +178,6 @@ def remove_files(paths: DataFrame, folder: str) -> None:
 
 def missing_files(paths: DataFrame, folder: str) -> DataFrame:
     """The rows of paths(path, ...) whose file is not there; looked up where the rows are."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def there(s: pd.Series) -> pd.Series:
