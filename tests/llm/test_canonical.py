@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from wikiloom.llm.canonical import canonical_text, look_alike_pairs, script_set, with_canonical
+from wikiloom.llm.canonical import canonical_text, look_alike_classes, look_alike_pairs, script_set, with_canonical
 
 SAME = [
     ("Hello", "Ｈｅｌｌｏ"), ("a b", "a b"), ("a b", "a b"), ("café", "café"), ("word", "wo​rd"), ("word", "wo­rd"), ("cat", "сat"),
@@ -67,3 +67,11 @@ def test_long_text_and_column(spark):
     df = with_canonical(spark.createDataFrame([(1, long), (2, None)], "id int, text string"), __import__("pyspark.sql.functions", fromlist=["col"]).col("text"))
     got = {r.id: r.canonical for r in df.collect()}
     assert got == {1: "cat " * 200_000, 2: None}
+
+
+def test_classes_hold_what_pairs_do(spark):
+    rows = [(5, "cat"), (1, "\u0441at"), (2, "cat"), (3, "c\u0430t"), (4, "dog"), (6, "dog"), (7, None), (8, ""), (9, ""), (2, "cat"), (None, "c\u0430t"), (10, "\u200b")]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id bigint, text string, form string, class_id int")
+    got = {tuple(r) for r in look_alike_classes(df).collect()}
+    assert got == {(5, 1, 2), (1, 1, 1), (2, 1, 2), (3, 1, 3), (8, 8, 8), (9, 8, 8), (10, 8, 10)}
+    assert look_alike_classes(df.limit(0)).count() == 0

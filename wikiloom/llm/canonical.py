@@ -214,3 +214,17 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     right = members.select(F.col(key).alias("y"), F.col("exact").alias("b"))
     found = pairs.join(left, "a").join(right, "b")
     return found.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+
+
+def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, spelling_id): rows whose text reads like that of another row with other code points.
+
+    The form of :func:`look_alike_pairs` that grows with the rows: two rows read the same if they have one class_id, and
+    differ in their code points if they have different spelling_ids. Both are the least key of their group. Groups are
+    combined map-side; nulls, repeats and empty tables are treated as there.
+    """
+    prints = materialize(fingerprints(df, key, text))
+    spellings = materialize(prints.groupBy("form", "exact").agg(F.min(key).alias("spelling_id")))
+    many = spellings.groupBy("form").agg(F.count("*").alias("n"), F.min("spelling_id").alias("class_id")).where("n > 1")
+    known = spellings.join(many.select("form", "class_id"), "form").select("exact", "spelling_id", "class_id")
+    return prints.join(known, "exact").select(key, "class_id", "spelling_id").distinct()

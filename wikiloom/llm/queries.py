@@ -110,7 +110,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_joined, p4_found, p7_containers, p7_lengths, p7_whole, p8_found, p8_coverage, p8_items, p9_found)}
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as classes of documents that read the same and spellings within them."""
+    return canonical.look_alike_classes(read_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_joined, p4_found, p7_containers, p7_lengths, p7_whole, p8_found, p8_coverage, p8_items, p9_found, p9_classes)}
 
 _LAST = """SELECT TRY_CAST(trim(id) AS BIGINT) AS page_id, storage_format_sample AS t FROM page_records
   WHERE run_id = (SELECT max(run_id) FROM page_records)
@@ -195,6 +200,8 @@ SQL = {
 both_ AS (SELECT item_id, x.doc_id IS NOT NULL AS verbatim, coalesce(c.coverage, 0) >= 0.5 AS much FROM exact x FULL JOIN covered c USING (doc_id, item_id))
 SELECT item_id, count(*) FILTER (verbatim) AS verbatim, count(*) FILTER (much) AS covered FROM both_ WHERE verbatim OR much GROUP BY 1""",
     "p9_found": _p9_sql(),
+    "p9_classes": f"""WITH d AS (SELECT doc_id, text, {_skeleton()} AS form FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, min(doc_id) OVER (PARTITION BY form, text) AS spelling_id FROM d QUALIFY min(text) OVER (PARTITION BY form) <> max(text) OVER (PARTITION BY form)""",
     "p2_found": f"""
 SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'natural' END AS cut_type
 FROM ({_LAST}) WHERE length(t) > 3000""",
