@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wikiloom.functions import urls
 from wikiloom.functions.files import attachment_path, page_filename
-from wikiloom.functions.text import strip_white
 from wikiloom.operators import attachments as att, links, records, snapshots
+from wikiloom.operators.comments import current_comments
 from wikiloom.operators.ranking import rank_within
 from wikiloom.plans import pipeline, render_sql
 from wikiloom.plans.wiki import _ATT, _KINDS, _LAST, _PAGES, _SIG, _TARGETS, HOST, MAX_DEPTH, _attachments, _last, _NAMED
@@ -81,8 +81,6 @@ def link_origins(spark: SparkSession, folder: str) -> DataFrame:
     given = _inputs(spark, folder, previous=False)
     rows = given.api_pages.where("page_id IS NOT NULL")
     linked = materialize(pipeline.sources_of_links(rows))
-    from wikiloom.operators.comments import current_comments
-
     talk = current_comments(given.api_comments, targets=links.targets_in("body"))
     parents = snapshots.latest_rows(rows, ["page_id"], [F.col("version.number")], ["parent_id"])
     edges = pipeline.all_edges(linked, parents, talk, given.related, HOST)
@@ -102,9 +100,7 @@ def page_files(spark: SparkSession, folder: str) -> DataFrame:
     """File name of each page by its title."""
 
     @F.pandas_udf("string")
-    def name(title, key):
-        import pandas as pd
-
+    def name(title: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series([page_filename(t or "", k) for t, k in zip(title, key, strict=True)], dtype=object)
 
     last = _last(spark, folder, "title")
