@@ -6,6 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from wikiloom.operators import links
+from wikiloom.operators.comments import current_comments
 from wikiloom.operators.traversal import FrontierTooLarge
 from wikiloom.plans import pipeline
 from wikiloom.sources import store
@@ -141,7 +143,7 @@ def test_query_hits_keep_their_macro_however_many_they_are(spark):
     given = inputs(spark, [page(1, body)])
     given.related = spark.createDataFrame([("a", i, 10 + i) for i in range(1001)] + [("b", 0, 5000)], "cql string, pos int, page_id bigint")
     linked = pipeline.sources_of_links(given.api_pages)
-    edges = pipeline.all_edges(linked, given.api_pages.select("page_id", "parent_id"), given.api_comments.where("comment_id = 'c1'").limit(0), given.related, "h.example")
+    edges = pipeline.all_edges(linked, given.api_pages.select("page_id", "parent_id"), current_comments(given.api_comments, targets=links.targets_in("body")).limit(0), given.related, "h.example")
     order = [r.dst for r in edges.orderBy("at").collect()]
     assert order == [*range(10, 1011), 5000]
 
